@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup
+from newsloom.llm import exact_dedup, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
