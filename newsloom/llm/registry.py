@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, sentencepiece_codec
+from newsloom.llm import exact_dedup, sentencepiece_codec, source_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
+        "op6_source_mixing": source_mixing.op6_source_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_source_mixing": source_mixing.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
     }

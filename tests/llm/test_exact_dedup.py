@@ -2,7 +2,9 @@ import hashlib
 import re
 from collections import defaultdict
 
-from newsloom.llm.exact_dedup import exact_dedup, grow_directory
+from newsloom.llm.exact_dedup import OP7_SQL, exact_dedup, grow_directory, op7_exact_dedup
+from tests.conftest import SF
+from tests.llm.oracle import assert_same
 
 SCHEMA = "doc_id long, text string, digest string, h long, bucket int"
 
@@ -47,3 +49,7 @@ def test_directory_partitions_the_key_space():
     assert sum(1 << (4 - d) for d, _, _ in got) == 16
     assert sum(n for _, _, n in got) == 14
     assert all(n <= 4 or d == 4 for d, _, n in got)
+
+
+def test_against_sql(spark):
+    assert_same(spark, op7_exact_dedup(spark, SF), OP7_SQL, SF)
