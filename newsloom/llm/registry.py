@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, sentencepiece_codec, source_mixing
+from newsloom.llm import exact_dedup, language_id, sentencepiece_codec, source_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op6_source_mixing": source_mixing.op6_source_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_language_id": language_id.op9_language_id,
     }
 
 
