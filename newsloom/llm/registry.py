@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, language_id, sentencepiece_codec, source_mixing
+from newsloom.llm import exact_dedup, fingerprints, language_id, sentencepiece_codec, sharding, source_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_sharding": sharding.op4_sharding,
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op6_source_mixing": source_mixing.op6_source_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_language_id": language_id.op9_language_id,
     }
 
