@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, fingerprints, language_id, sentencepiece_codec, sharding, source_mixing
+from newsloom.llm import exact_dedup, fingerprints, language_id, license_scan, sentencepiece_codec, sharding, source_mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
+        "op2_license_scan": license_scan.op2_license_scan,
         "op4_sharding": sharding.op4_sharding,
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op6_source_mixing": source_mixing.op6_source_mixing,
@@ -22,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.OP1_SQL,
+        "op2_license_scan": license_scan.OP2_SQL,
         "op6_source_mixing": source_mixing.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
     }
