@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, fingerprints, language_id, license_scan, sentencepiece_codec, sharding, source_mixing, url_filter
+from newsloom.llm import exact_dedup, fingerprints, jaccard_join, language_id, license_scan, sentencepiece_codec, sharding, source_mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op6_source_mixing": source_mixing.op6_source_mixing,
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.OP1_SQL,
         "op2_license_scan": license_scan.OP2_SQL,
+        "op3_jaccard_join": jaccard_join.OP3_SQL,
         "op6_source_mixing": source_mixing.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
     }
