@@ -37,7 +37,7 @@ from newsloom.llm import common
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Characters that are encoded together at most, unless one word alone is longer.
 CHUNK_CHARS = 1_000_000
 
@@ -132,7 +132,7 @@ class Model:
         by_key = np.argsort(np.array(keys, np.int64))
         self.pair_keys = np.array(keys, np.int64)[by_key]
         self.pair_ranks = np.array(ranks, np.int64)[by_key]
-        self.pair_ids = np.array(merged, np.int32)[by_key]
+        self.pair_ids = np.array(merged, np.int64)[by_key]
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in ids)
         self.none = np.int64(1 << 40)
 
@@ -143,67 +143,80 @@ class Model:
         hit = self.pair_keys[at] == key
         return np.where(hit, self.pair_ranks[at], self.none), np.where(hit, self.pair_ids[at], -1)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word by merge rounds over one flat array of symbols."""
+    def encode_words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """All ids one after another, and where each word's ids begin and end; by merge rounds."""
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self.char_table[flat].astype(np.int64)
-        symbol[symbol == self.other] = -1 - flat[symbol == self.other]  # keeps the character
+        strange = symbol == self.other
+        symbol[strange] = -1 - flat[strange]  # keeps the character
         word = np.repeat(np.arange(len(words)), sizes)
+        rank, piece = self._pairs(symbol, word, np.arange(len(symbol)))
         out: list[tuple[np.ndarray, np.ndarray]] = []
+        low = np.full(len(words), self.none)
         while len(symbol):
-            known = np.where(symbol < 0, self.other, symbol)
-            rank, piece = self.ranks(known[:-1], known[1:])
-            rank[word[:-1] != word[1:]] = self.none
-            low = np.full(len(words), self.none)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            low[word[starts]] = np.minimum.reduceat(np.r_[rank, self.none], starts)
-            done = low[word] == self.none
-            if done.any():
+            low[word[starts]] = np.minimum.reduceat(rank, starts)
+            mine = low[word]
+            done = mine == self.none
+            if done.any():  # words leave whole, so that what stays keeps its neighbours
                 out.append((word[done], symbol[done]))
-                keep = ~done  # words leave whole, so that what stays keeps its neighbours
-                symbol, word, known, rank, piece = (x[keep] for x in (symbol, word, known, np.r_[rank, self.none], np.r_[piece, -1]))
+                symbol, word, rank, piece, mine = (x[~done] for x in (symbol, word, rank, piece, mine))
                 if not len(symbol):
                     break
-                rank, piece = rank[:-1], piece[:-1]
-            at = np.flatnonzero(rank == low[word[:-1]])
+            at = np.flatnonzero(rank == mine)
             # of a run of overlapping occurrences every second one merges
             run = np.r_[True, np.diff(at) != 1]
             first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - first) % 2 == 0]
-            made = piece[at].astype(np.int64)
-            at, made = self._until_lower(at, made, known, word, low)
+            at, made = self._until_lower(at, piece[at], symbol, word, low)
             symbol[at] = made
             stay = np.ones(len(symbol), bool)
             stay[at + 1] = False
-            symbol, word = symbol[stay], word[stay]
+            now = at - np.arange(len(at))  # each merge moves what follows by one
+            symbol, word, rank, piece = symbol[stay], word[stay], rank[stay], piece[stay]
+            changed = np.r_[now, now[now > 0] - 1]
+            rank[changed], piece[changed] = self._pairs(symbol, word, changed)
         which = np.concatenate([w for w, _ in out]) if out else np.empty(0, np.int64)
         ids = np.concatenate([s for _, s in out]) if out else np.empty(0, np.int64)
         order = np.argsort(which, kind="stable")
         ids, which = ids[order], which[order]
-        bounds = np.searchsorted(which, np.arange(len(words) + 1))
         odd = (ids < 0) | (ids >= len(self.pieces))
-        if not odd.any():
-            return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        spelled = {s: self._spelled(s) for s in np.unique(ids[odd]).tolist()}
-        fixed = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            one = ids[a:b]
-            if odd[a:b].any():
-                one = np.array([x for s in one.tolist() for x in (spelled[s] if s in spelled else (s,))], np.int64)
-            fixed.append(one)
-        return fixed
-
-    def _until_lower(self, at, made, known, word, low):
+        if odd.any():  # characters without a piece are spelled in bytes
+            spelled = {s: self._spelled(s) for s in np.unique(ids[odd]).tolist()}
+            size = np.ones(len(ids), np.int64)
+            size[odd] = [len(spelled[s]) for s in ids[odd].tolist()]
+            which = np.repeat(which, size)
+            long = np.repeat(odd, size)
+            filled = np.repeat(ids, size)
+            filled[long] = [x for s in ids[odd].tolist() for x in spelled[s]]
+            ids = filled
+        return ids.tolist(), np.searchsorted(which, np.arange(len(words) + 1)).tolist()
+
+    def _pairs(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of the pairs that begin at some places; none at a word's end."""
+        after = np.minimum(at + 1, max(len(symbol) - 1, 0))
+        left, right = symbol[at], symbol[after]
+        inside = (at < after) & (word[at] == word[after]) & (left >= 0) & (right >= 0)
+        rank, piece = np.full(len(at), self.none), np.full(len(at), -1, np.int64)
+        rank[inside], piece[inside] = self.ranks(left[inside], right[inside])
+        return rank, piece
+
+    def _until_lower(
+        self, at: np.ndarray, made: np.ndarray, symbol: np.ndarray, word: np.ndarray, low: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Cut a round, in each word, after the first merge that makes a pair of no larger rank."""
-        last = len(known) - 1
+        last = len(symbol) - 1
         prior = np.r_[False, at[1:] == at[:-1] + 2]
-        left = np.where(prior, np.r_[0, made[:-1]], known[np.maximum(at - 1, 0)])
-        left_rank = self.ranks(left, made)[0]
-        left_rank[(at == 0) | (word[np.maximum(at - 1, 0)] != word[at])] = self.none
+        left = np.where(prior, np.r_[0, made[:-1]], symbol[np.maximum(at - 1, 0)])
+        left_rank = np.full(len(at), self.none)
+        ok = (at > 0) & (word[np.maximum(at - 1, 0)] == word[at]) & (left >= 0)
+        left_rank[ok] = self.ranks(left[ok], made[ok])[0]
         after = np.minimum(at + 2, last)
-        right_rank = self.ranks(made, known[after])[0]
-        right_rank[(at + 2 > last) | (word[after] != word[at])] = self.none
+        right = symbol[after]
+        right_rank = np.full(len(at), self.none)
+        ok = (at + 2 <= last) & (word[after] == word[at]) & (right >= 0)
+        right_rank[ok] = self.ranks(made[ok], right[ok])[0]
         lower = np.minimum(left_rank, right_rank) <= low[word[at]]
         if not lower.any():
             return at, made
@@ -226,7 +239,7 @@ class Model:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of one text."""
-        return [i for w in self.encode_words(self.split(text or "")) for i in w.tolist()] if text else []
+        return self.encode_words(self.split(text))[0] if text else []
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined and read as UTF-8, marks back to spaces."""
@@ -283,6 +296,9 @@ class Codec:
     def __init__(self, model: Model):
         self.model = model
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.names = [str(i) for i in range(len(model.pieces))]
+        self.texts = [p.replace(MARK, " ") for p in model.pieces]
+        self.plain = frozenset(i for i, k in enumerate(model.kinds) if k == NORMAL)
 
     def look_up(self, words: set[str]) -> None:
         """Encode the words that the cache lacks, in chunks of bounded size."""
@@ -297,9 +313,15 @@ class Codec:
                 chars += len(missing[end])
                 end += 1
             chunk = missing[at:end]
-            for w, ids in zip(chunk, self.model.encode_words(chunk), strict=True):
-                ids = ids.tolist()
-                self.cache[w] = (len(ids), ",".join(map(str, ids)), self.surface(ids))
+            ids, bounds = self.model.encode_words(chunk)
+            names, texts, plain = self.names, self.texts, self.plain
+            for k, w in enumerate(chunk):
+                own = ids[bounds[k] : bounds[k + 1]]
+                if plain.issuperset(own):  # no byte pieces to gather
+                    surface = "".join([texts[i] for i in own])
+                else:
+                    surface = self.surface(own)
+                self.cache[w] = (len(own), ",".join([names[i] for i in own]), surface)
             at = end
 
     def surface(self, ids: list[int]) -> str:
@@ -312,14 +334,13 @@ class Codec:
         """Any one-character piece; put before a word it keeps that word's first mark."""
         return self.model.char_ids["a"]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, their digest and the decoded text's digest; the words must be cached."""
-        words = self.model.split(text)
-        found = [self.cache[w] for w in words]
-        decoded = "".join(f[2] for f in found)
+    def encoded(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids joined by commas, and the decoded text; the words must be cached."""
+        found = list(map(self.cache.__getitem__, self.model.split(text)))
+        decoded = "".join([f[2] for f in found])
         if self.model.add_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return sum(f[0] for f in found), sha(",".join(f[1] for f in found)), sha(decoded)
+        return sum([f[0] for f in found]), ",".join([f[1] for f in found]), decoded
 
 
 def sha(text: str) -> str:
@@ -338,17 +359,17 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             for batch in common.slices(whole, "text"):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 codec.look_up({w for t in texts for w in codec.model.split(t)})
-                rows = [codec.digest(t) for t in texts]
+                rows = [codec.encoded(t) for t in texts]
                 columns = [
                     batch.column("doc_id"),
                     pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.string()),
+                    pa.array([sha(r[1]) for r in rows], pa.string()),
+                    pa.array([sha(r[2]) for r in rows], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    ids = [[int(i) for w in codec.model.split(t) for i in codec.cache[w][1].split(",")] for t in texts]
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.model.decode(i) for i in ids], pa.string())]
+                    ids = [np.array(r[1].split(",") if r[1] else [], np.int32) for r in rows]
+                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
