@@ -147,6 +147,25 @@ def exact_dedup(
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, max_depth: int = 12) -> DataFrame:
+    """The rows of docs that stay, with their columns; of rows alike in id and text, one.
+
+    A row is looked up by its own id, hash and length among the entries that
+    stay, so that the copies of a large group spread over all tasks.
+    """
+    index, _ = build_index(docs, id_col, text_col, capacity, max_depth)
+    stays = index.select(
+        F.xxhash64("keep_id", F.col("keep_id").isNull(), "h", "best").alias("__key"), F.col("digest").alias("__stays"), F.col("best").alias("__best")
+    )
+    body = normalised(text_col)
+    length = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    keyed = docs.withColumns(
+        {"__digest": F.sha2(body, 256), "__n": length, "__key": F.xxhash64(id_col, F.col(id_col).isNull(), F.xxhash64(body), length)}
+    )
+    found = keyed.join(stays, "__key").where("__digest = __stays and __n = __best")
+    return found.dropDuplicates(["__key", "__digest"]).select(*[docs[c] for c in docs.columns])
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among all documents."""
     return exact_dedup(common.table(spark, sf_dir, "documents"))

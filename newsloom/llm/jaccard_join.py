@@ -456,6 +456,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     )
 
 
+def keep_one_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, with their columns.
+
+    Ids are taken to be unique; a row without one is never dropped.
+    """
+    gone = jaccard_components(docs, n, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
+    gone = common.stored(gone, "gone")
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles have Jaccard 0.8 or more."""
     return jaccard_components(common.table(spark, sf_dir, "documents"))

@@ -222,38 +222,62 @@ def fit_documents(
     return Model.fit(sample_counts(train.select("doc_id", "text", "lang"), sample_docs, sample_chars), vocabulary(vocabulary_path), sharpness=sharpness)
 
 
+class Scorer:
+    """Scores texts with a bounded table of words."""
+
+    def __init__(self, languages: list[str], pieces: list[str], prob: np.ndarray, sharpness: float):
+        self.model = Model(languages, Pieces(pieces), prob, sharpness)
+        self.place: dict[str, int] = {}
+        self.table = np.empty((CACHE_WORDS, len(languages)))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        cut = [words_of(t) for t in texts]
+        missing = list({w for t in cut for w in t if w not in self.place})
+        if len(self.place) + len(missing) > len(self.table):
+            self.place.clear()
+            missing = list({w for t in cut for w in t})
+            if len(missing) > len(self.table):
+                self.table = np.empty((len(missing), self.table.shape[1]))
+        if missing:
+            begin = len(self.place)
+            self.table[begin : begin + len(missing)] = self.model.log_probs(missing)
+            self.place.update(zip(missing, range(begin, begin + len(missing)), strict=True))
+        return [self.model.decide(self.table[[self.place[w] for w in t]].sum(axis=0) if t else self.table[:0].sum(axis=0), len(t)) for t in cut]
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces.pieces, model.prob, model.sharpness))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, pieces, prob, sharpness = shipped.value
-        own = Model(languages, Pieces(pieces), prob, sharpness)
-        place: dict[str, int] = {}
-        table = np.empty((CACHE_WORDS, len(languages)))
+        score = Scorer(*shipped.value)
         for whole in batches:
             for batch in common.slices(whole, "text", 2 << 20):
-                texts = [words_of(t) for t in batch.column("text").to_pylist()]
-                missing = list({w for t in texts for w in t if w not in place})
-                if len(place) + len(missing) > len(table):
-                    place.clear()
-                    missing = list({w for t in texts for w in t})
-                    if len(missing) > len(table):
-                        table = np.empty((len(missing), len(languages)))
-                if missing:
-                    begin = len(place)
-                    table[begin : begin + len(missing)] = own.log_probs(missing)
-                    place.update(zip(missing, range(begin, begin + len(missing)), strict=True))
-                found = [own.decide(table[[place[w] for w in t]].sum(axis=0) if t else table[:0].sum(axis=0), len(t)) for t in texts]
+                found = score(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64())],
                     ["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out_flag(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out_flag(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, model: Model, languages: list[str] | None = None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs in one of the languages (all learned ones by default) with at least ``min_score``."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces.pieces, model.prob, model.sharpness))
+    wanted = set(languages or model.languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(*shipped.value)
+        for whole in batches:
+            for batch in common.slices(whole, text_col, 2 << 20):
+                keep = [lang in wanted and share >= min_score for lang, share in score(batch.column(text_col).to_pylist())]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents."""
     docs = common.table(spark, sf_dir, "documents")

@@ -87,6 +87,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     weight_col: str | None = None,
+    with_hash: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, source.
 
@@ -98,7 +99,7 @@ def mix(
     sized = common.stored(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.coalesce(own, F.lit(0.0)).alias("own")
-        ).select("doc_id", "source", word_count("text").alias("size"), _uniform(seed).alias("u"), "own"),
+        ).select("doc_id", "source", word_count("text").alias("size"), _uniform(seed).alias("u"), "own", F.xxhash64("text").alias("text_h")),
         "sized",
     )
     per = common.stored(
@@ -123,7 +124,7 @@ def mix(
         .withColumn("v", F.when((F.col("p") > 1e-12) & (F.col("size") > 0), F.coalesce(F.col("q") / (1 + F.col("q")), F.lit(1.0))))
         .withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int"))
         .withColumn("fine", F.least(F.floor((F.col("v") * BINS - F.col("bin")) * BINS), F.lit(BINS - 1)).cast("int"))
-        .select("key", "doc_id", "source", "size", "source_size", "target", "sure", "v", "bin", "fine")
+        .select("key", "doc_id", "text_h", "source", "size", "source_size", "target", "sure", "v", "bin", "fine")
     )
     need = common.stored(
         ranked.groupBy("key").agg(F.max("target").alias("target"), F.sum(F.col("sure") * F.col("size")).alias("certain")).select(
@@ -166,9 +167,24 @@ def mix(
         (copies * F.col("size")).cast("long").alias("taken"),
         copies.cast("int").alias("copies"),
         "source",
+        *(["text_h"] if with_hash else []),
     )
 
 
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them; rows alike in id and text get the larger of their counts."""
+    counts = (
+        mix(docs, id_col=id_col, text_col=text_col, with_hash=True, **options)
+        .where("copies > 0")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("text_h").alias("__h"))
+        .agg(F.max("copies").alias("__copies"))
+    )
+    counts = common.stored(counts, "copies")
+    same = (F.xxhash64(text_col) == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    found = docs.join(counts, same)
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+
+
 def _border(counted: DataFrame, need: DataFrame, bin_col: str, name: str) -> DataFrame:
     """Per key the first bin with which the words reach the need, and the need left when it begins.
 
