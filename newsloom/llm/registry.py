@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, fingerprints, jaccard_join, language_id, license_scan, sentencepiece_codec, sharding, source_mixing, url_filter
+from newsloom.llm import chat_format, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, sentencepiece_codec, sharding, source_mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_language_id": language_id.op9_language_id,
+        "op10_chat_format": chat_format.op10_chat_format,
     }
 
 
