@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.plans import queue_queries
+
 FLAGSHIP = "intake_source_report"
+MODULES = [queue_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the reference's own operators."""
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same columns for the keys of queries()."""
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
