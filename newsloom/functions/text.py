@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def text_or(*columns: Column) -> Column:
@@ -15,7 +16,7 @@ def text_or(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def deaccented(values: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, in lower case; null is empty."""
 
