@@ -31,7 +31,8 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "title", F.size("paragraphs").alias("n_paragraphs"), *kinds.values(), F.md5(F.array_join("paragraphs", "\n")).alias("digest"))
 
 
-@query("select page_id id, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')) title from pages")
+@query("""select page_id id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')),
+  '&lt;', '<'), '&gt;', '>'), '&amp;', '&') title from pages""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.extract(t.read(spark, sf_dir, "pages")).select("id", "title")
 
