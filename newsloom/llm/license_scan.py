@@ -106,12 +106,13 @@ def cover_words(sets: list[list[str]], threshold: float) -> list[str]:
             chosen.append(word)
             left = [b for b in left if word not in b.split()]
             have = len(s) - len(left)
-    return chosen
+    # a word that holds another is found with it
+    return [w for w in chosen if not any(v != w and v in w for v in chosen)]
 
 
 def _segments(text: Column) -> Column:
-    """Normalised lines, paragraphs and whole text, distinct."""
-    clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    """Normalised lines, paragraphs and whole of a lower-case text, distinct."""
+    clean = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
     paragraphs = F.transform(F.split(clean, r"\n *\n"), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
     parts = F.concat(F.split(clean, "\n"), paragraphs, F.array(F.replace(clean, F.lit("\n"), F.lit(" "))))
     return F.array_distinct(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, " +", " "))))
@@ -119,8 +120,9 @@ def _segments(text: Column) -> Column:
 
 def _bigram_set(segment: Column) -> Column:
     words = F.split(segment, " ")
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
-    return F.array_distinct(pairs)
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    # two shifted arrays, so that no element cuts the segment again
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def scan(
@@ -154,12 +156,14 @@ def scan(
         )
         return F.array_max(scored)
 
-    text = F.col(text_col)
+    text = F.col("low")
     pieces = F.filter(_segments(text), lambda s: _any_of(s, words) & (F.char_length(s) > 2))
     # no segment with more than `largest` distinct bigrams, or fewer than `smallest`, can match
     sized = F.filter(F.transform(pieces, _bigram_set), lambda g: (F.size(g) >= smallest) & (F.size(g) <= largest))
     hits = F.filter(F.transform(sized, best), lambda b: b["dice"] >= threshold)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.when(_any_of(F.lower(text), words), hits).alias("hits"))
+    # substring searches over the lower-case text, which is made once: most texts go no further
+    low_case = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
+    found = low_case.select("doc_id", F.when(_any_of(text, words), hits).alias("hits"))
     top = F.array_max("hits")
     names, kinds = ([F.lit(t[k]) for t in templates] for k in (0, 1))
     place = (1 - top["place"]).cast("int")
