@@ -64,6 +64,8 @@ PER_BAND = 2
 WORD_CACHE = 400_000
 #: Rows of an index list that are compared with as many others in one step.
 BLOCK = 256
+#: Groups up to this size are paired together with others.
+SMALL = 24
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -302,6 +304,73 @@ def counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").where(links).select("x", "y")
 
 
+def _group_starts(g: dict[str, np.ndarray]) -> np.ndarray:
+    key = [g[c] for c in ("element", "a", "b")]
+    return np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1]
+
+
+def _pairs_of(g: dict[str, np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole groups that stay possible.
+
+    Small groups are paired all at once, a row with those 1, 2, … places after it;
+    larger ones, which are blocks of bounded size, each as a matrix.
+    """
+    total = len(g["node"])
+    if total < 2:
+        return
+    starts = _group_starts(g)
+    sizes = np.diff(np.r_[starts, total])
+    width = np.fromiter(map(len, g["bits"]), np.int64, total)
+    place, tables = np.empty(total, np.int64), {}
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        place[mine] = np.arange(len(mine))
+        tables[w] = np.frombuffer(b"".join(g["bits"][mine]), np.uint8).reshape(len(mine), w)
+    n, c, k = g["size"], g["component"], g["node"]
+    room = n - g["position"]
+
+    def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        need = allowed(n[i] + n[j], percent)
+        ok = (c[i] != c[j]) & (np.minimum(room[i], room[j]) >= need)
+        i, j, need = i[ok], j[ok], need[ok]
+        keep = np.zeros(len(i), bool)
+        both = np.minimum(width[i], width[j]) << 32 | np.maximum(width[i], width[j])
+        for code in np.unique(both).tolist():
+            w = code >> 32
+            chosen = np.flatnonzero(both == code)
+            for at in range(0, len(chosen), 8192):
+                some = chosen[at : at + 8192]
+                sides = []
+                for side in (i[some], j[some]):
+                    out = np.empty((len(some), w), np.uint8)
+                    for v in np.unique(width[side]).tolist():
+                        which = np.flatnonzero(width[side] == v)
+                        out[which] = folded(tables[v][place[side[which]]], w)
+                    sides.append(out.view(np.uint64))
+                apart = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+                keep[some] = apart <= n[i[some]] + n[j[some]] - 2 * need[some]
+        return i[keep], j[keep]
+
+    found = []
+    group = np.repeat(np.arange(len(starts)), np.where(sizes <= SMALL, sizes, 0))
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    for step in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=0)))):
+        at = np.flatnonzero(group[step:] == group[:-step])
+        if not len(at):
+            break
+        found.append(close(small[at], small[at + step]))
+    for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        one, two = np.triu_indices(m, 1)
+        if g["a"][s] != g["b"][s]:
+            across = g["block"][s + one] != g["block"][s + two]
+            one, two = one[across], two[across]
+        found.append(close(s + one, s + two))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    if len(i):
+        pairs = np.unique(np.stack([np.maximum(k[i], k[j]), np.minimum(k[i], k[j])]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
+
+
 def _list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the block pairs of index lists; see the module's text.
 
@@ -309,56 +378,20 @@ def _list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     (element, a, b); block tells which of the two blocks a row is of.
     """
 
-    def pairs(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        width = np.fromiter(map(len, g["bits"]), np.int64, len(g["bits"]))
-        xs, ys = [], []
-        for w in np.unique(width):
-            for v in (w, 2 * w):
-                one, two = np.flatnonzero(width == w), np.flatnonzero(width == v)
-                if not len(one) or not len(two):
-                    continue
-                left = np.frombuffer(b"".join(g["bits"][i] for i in one), np.uint8).reshape(len(one), w)
-                right = folded(np.frombuffer(b"".join(g["bits"][i] for i in two), np.uint8).reshape(len(two), v), w)
-                left, right = left.view(np.uint64), np.ascontiguousarray(right).view(np.uint64)
-                n, p, c, k, b = (g[name] for name in ("size", "position", "component", "node", "block"))
-                for at, i in enumerate(one.tolist()):
-                    need = allowed(n[i] + n[two], percent)
-                    room = np.minimum(n[i] - p[i], n[two] - p[two])
-                    ok = (room >= need) & (c[two] != c[i]) & ((k[two] > k[i]) if v == w else True)
-                    if g["a"][0] != g["b"][0]:
-                        ok &= b[two] != b[i]
-                    some = np.flatnonzero(ok)
-                    if len(some):
-                        apart = np.bitwise_count(right[some] ^ left[at]).sum(axis=1, dtype=np.int64)
-                        some = some[apart <= n[i] + n[two[some]] - 2 * need[some]]
-                        xs.append(np.maximum(k[i], k[two[some]]))
-                        ys.append(np.minimum(k[i], k[two[some]]))
-        return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64), np.empty(0, np.int64))
-
     names = ["element", "a", "b", "block", "node", "size", "component", "position"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-
-        def emit(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            x, y = pairs(g)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
-
         for batch in batches:
             now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             now["bits"] = np.array([*batch.column("bits").to_pylist(), None], object)[:-1]
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in now}
-            key = [now[c] for c in ("element", "a", "b")]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-            bounds = [0, *cuts.tolist()]
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if e - s > 1:
-                    yield from emit({c: v[s:e] for c, v in now.items()})
-            held = {c: v[bounds[-1] :] for c, v in now.items()}
-        if held is not None and len(held["node"]) > 1:
-            yield from emit(held)
+            cut = _group_starts(now)[-1]  # the last group may go on
+            yield from _pairs_of({c: v[:cut] for c, v in now.items()}, percent)
+            held = {c: v[cut:] for c, v in now.items()}
+        if held is not None:
+            yield from _pairs_of(held, percent)
 
     return rows.mapInArrow(run, "x long, y long").distinct()
 
