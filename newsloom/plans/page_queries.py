@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import html_blocks as h
@@ -27,8 +27,11 @@ def query(sql: str | None = None):
 @query()
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = h.extract(t.read(spark, sf_dir, "pages"))
-    kinds = {k: F.size(F.filter("blocks", lambda b, k=k: b["type"] == k)).alias(k) for k in ("paragraph", "heading", "list_item", "image")}
-    return found.select("id", "title", F.size("paragraphs").alias("n_paragraphs"), *kinds.values(), F.md5(F.array_join("paragraphs", "\n")).alias("digest"))
+
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("blocks", lambda b: b["type"] == kind)).alias(kind)
+
+    return found.select("id", "title", F.size("paragraphs").alias("n_paragraphs"), *map(of_kind, ("paragraph", "heading", "list_item", "image")), F.md5(F.array_join("paragraphs", "\n")).alias("digest"))
 
 
 @query("""select page_id id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')),
