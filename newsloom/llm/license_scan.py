@@ -13,6 +13,14 @@ of a template's bigrams, so a segment must hold one of any set of words that
 covers one bigram more; the cover words of all templates are looked up as
 substrings, and only texts that have one are normalised and cut at all.
 
+With ``windows`` (the registered query has it) notices inside running text are
+found too: windows over the words of the whole text, of t / (2 - t) to (2 - t) / t
+times a template's bigrams. A best window starts and ends with a bigram of the template,
+so only such are compared, and only with templates of which the text holds t / (2 - t) of
+the bigrams; no other window can match better. Of windows that overlap the best is
+taken, then the next best beside it; each licence that no segment has adds its
+best window as one hit.
+
 All of it is one projection of built-in functions over the document's own row: no
 shuffle, no state, any file layout.
 
@@ -26,6 +34,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,19 +119,72 @@ def cover_words(sets: list[list[str]], threshold: float) -> list[str]:
     return [w for w in chosen if not any(v != w and v in w for v in chosen)]
 
 
+def _clean(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
+
+
 def _segments(text: Column) -> Column:
     """Normalised lines, paragraphs and whole of a lower-case text, distinct."""
-    clean = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
+    clean = _clean(text)
     paragraphs = F.transform(F.split(clean, r"\n *\n"), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
     parts = F.concat(F.split(clean, "\n"), paragraphs, F.array(F.replace(clean, F.lit("\n"), F.lit(" "))))
     return F.array_distinct(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, " +", " "))))
 
 
-def _bigram_set(segment: Column) -> Column:
+def _bigrams(segment: Column) -> Column:
     words = F.split(segment, " ")
     n = F.greatest(F.size(words) - 1, F.lit(0))
     # two shifted arrays, so that no element cuts the segment again
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _bigram_set(segment: Column) -> Column:
+    return F.array_distinct(_bigrams(segment))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(text: Column, known: Column, threshold: float, low: float, high: float) -> Column:
+    """Matching windows (dice, place, kind, start, end) over a lower-case text's words, the best first, none of which overlap."""
+    whole = F.trim(F.regexp_replace(F.replace(_clean(text), F.lit("\n"), F.lit(" ")), " +", " "))
+
+    def matches(grams: Column, t: Column) -> Column:
+        def window(start: Column, end: Column) -> Column:
+            return _let(
+                F.array_distinct(F.slice(grams, start + 1, end - start + 1)),
+                lambda w: F.struct(
+                    (2.0 * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + t["n"])).alias("dice"),
+                    t["place"].alias("place"),
+                    t["kind"].alias("kind"),
+                    (-start).alias("start"),  # of equal windows the first, then the shortest, sorts highest
+                    (-end).alias("end"),
+                ),
+            )
+
+        def from_start(held: Column) -> Callable[[Column, Column], Column]:
+            def run(start: Column, k: Column) -> Column:
+                # held positions rise, so the ends in reach are among the next few
+                reach = F.slice(held, k + 1, F.ceil(t["n"] * high).cast("int"))
+                ends = F.filter(reach, lambda e: (e - start + 1 >= t["n"] * low) & (e - start + 1 <= t["n"] * high))
+                return F.filter(F.transform(ends, lambda e: window(start, e)), lambda w: w["dice"] >= threshold)
+
+            return run
+
+        held = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+        return _let(held, lambda h: F.flatten(F.transform(h, from_start(h))))
+
+    def found(grams: Column) -> Column:
+        near = F.filter(known, lambda t: F.size(F.array_intersect(grams, t["grams"])) >= t["n"] * low)
+        return F.reverse(F.array_sort(F.flatten(F.transform(near, lambda t: matches(grams, t)))))
+
+    def apart(windows: Column) -> Column:
+        beside = lambda kept, w: ~F.exists(kept, lambda o: (o["start"] >= w["end"]) & (w["start"] >= o["end"]))
+        return F.aggregate(windows, F.slice(windows, 1, 0), lambda kept, w: F.when(beside(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+
+    return _let(_let(_bigrams(whole), found), apart)
 
 
 def scan(
@@ -131,12 +193,14 @@ def scan(
     threshold: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
+    windows: bool = False,
 ) -> DataFrame:
-    """doc_id, license, category, dice of the best match, n_hits (segments with a match)."""
+    """doc_id, license, category, dice of the best match, n_hits (segments with a match; with windows also licences in running text only)."""
     sets = [bigrams(t) for _, _, t in templates]
+    kinds_of = [n for n, _, _ in templates]
     known = F.array(
         *[
-            F.struct(F.lit(-i).alias("place"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("grams"))
+            F.struct(F.lit(-i).alias("place"), F.lit(kinds_of.index(kinds_of[i])).alias("kind"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("grams"))
             for i, b in enumerate(sets)
             if b
         ]
@@ -151,7 +215,9 @@ def scan(
         scored = F.transform(
             near,
             lambda t: F.struct(
-                (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])).alias("dice"), t["place"].alias("place")
+                (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])).alias("dice"),
+                t["place"].alias("place"),
+                t["kind"].alias("kind"),
             ),
         )
         return F.array_max(scored)
@@ -161,6 +227,8 @@ def scan(
     # no segment with more than `largest` distinct bigrams, or fewer than `smallest`, can match
     sized = F.filter(F.transform(pieces, _bigram_set), lambda g: (F.size(g) >= smallest) & (F.size(g) <= largest))
     hits = F.filter(F.transform(sized, best), lambda b: b["dice"] >= threshold)
+    if windows:
+        hits = _let(hits, lambda have: _with_running(have, _running(text, known, threshold, low, high)))
     # substring searches over the lower-case text, which is made once: most texts go no further
     low_case = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
     found = low_case.select("doc_id", F.when(_any_of(text, words), hits).alias("hits"))
@@ -176,6 +244,16 @@ def scan(
     )
 
 
+def _with_running(hits: Column, windows: Column) -> Column:
+    """Hits of segments, and the best window of each licence that they do not have."""
+
+    def added(new: Column) -> Column:
+        first = F.filter(new, lambda w, k: ~F.exists(F.slice(new, F.lit(1), k), lambda o: o["kind"] == w["kind"]))
+        return F.concat(hits, F.transform(first, lambda w: F.struct(w["dice"].alias("dice"), w["place"].alias("place"), w["kind"].alias("kind"))))
+
+    return _let(F.filter(windows, lambda w: ~F.exists(hits, lambda h: h["kind"] == w["kind"])), added)
+
+
 def _any_of(column: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -185,7 +263,7 @@ def _any_of(column: Column, words: list[str]) -> Column:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best matching licence of every document."""
-    return scan(common.table(spark, sf_dir, "documents"))
+    return scan(common.table(spark, sf_dir, "documents"), windows=True)
 
 
 def _sql() -> str:
