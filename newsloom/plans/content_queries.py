@@ -195,7 +195,7 @@ LEXICON = e.Lexicon(
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = x.joined_text(F.col("title"), F.lit(None).cast("string"), F.col("paragraphs"))
     rows = t.articles(spark, sf_dir).withColumn("fp", e.fingerprint(LEXICON)(text)).withColumn("ts", t.now() - F.make_dt_interval((F.col("link") % 40).cast("int")))
-    return d.with_subjects(rows.select("link", "source_name", "title", "ts", "fp"), LEXICON)
+    return d.with_subjects(rows.select("link", "source_name", "title", "ts", "fp", "lang"), LEXICON)
 
 
 @query()
@@ -206,9 +206,11 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dedup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fingerprinted(spark, sf_dir)
-    known, new = rows.where("link % 2 = 0"), rows.where("link % 2 = 1").withColumn("ordinal", F.lit(None).cast("struct<branch:int,ts:timestamp_ntz,link:bigint>"))
-    candidates = d.candidate_set(known.where("link % 4 = 0"), known.where("link % 4 = 2"), t.now())
-    return d.verdicts(new, candidates, t.now()).withColumn("evidence", F.array_join("evidence", ";")).withColumn("rejected_series", F.array_join("rejected_series", ";"))
+    # every document is judged against every other; those in English play the queue, the others the ledger
+    new = rows.withColumn("ordinal", F.lit(None).cast("struct<branch:int,ts:timestamp_ntz,link:bigint>"))
+    pending = F.coalesce(F.col("lang") == "en", F.lit(False))
+    candidates = d.candidate_set(rows.where(pending), rows.where(~pending), t.now())
+    return d.verdicts(new.drop("lang"), candidates.drop("lang"), t.now()).withColumn("evidence", F.array_join("evidence", ";")).withColumn("rejected_series", F.array_join("rejected_series", ";"))
 
 
 # ---------------------------------------------------------------- state machines
