@@ -405,6 +405,16 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataF
     rows: doc_id, node, size of each row. nodes: node, size, bits, doc_id (the smallest).
     components: node, component of each node that links to another.
     """
+    rows, nodes, links = _links(docs, n, percent, skip=True)
+    return rows, nodes, common.connected_components(links)
+
+
+def _links(docs: DataFrame, n: int, percent: int, skip: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows and nodes as above, and links (src, dst) of nodes.
+
+    With ``skip``, as many links as the components need: pairs that one component answers
+    are left out. Without, every link, once.
+    """
     rows = common.stored(describe(docs, n), "described")
     distinct = rows.where("bits is not null").select("node", "size", "bits", "bands")
     nodes = common.stored(
@@ -423,10 +433,10 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataF
         return common.stored(counted(pairs, sets_of(docs, wanted, n), percent), "links")
 
     # similar sets against the representatives of their bands
-    bands = common.stored(nodes.select("node", F.explode("bands").alias("band")), "bands")
+    bands = common.stored(nodes.where(F.lit(skip)).select("node", F.explode("bands").alias("band")), "bands")
     heads = common.stored(bands.groupBy("band").agg(F.min("node").alias("y"), F.max("node").alias("z")).where("y <> z").select("band", "y"), "heads")
     star = bands.join(heads, "band").where("node <> y").select(F.col("node").alias("x"), "y").distinct()
-    first = exact(common.stored(_close_pairs(beside(star), percent), "close"))
+    first = exact(common.stored(_close_pairs(beside(star), percent), "close")) if skip else star
     known = common.stored(common.connected_components(first.select(F.col("x").alias("src"), F.col("y").alias("dst"))), "known")
 
     # the index, without lists of one component
@@ -474,7 +484,24 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataF
     )
     second = exact(common.stored(_list_pairs(dealt, percent), "candidates"))
     links = first.unionByName(second).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    return rows.where("piece is null"), nodes, common.connected_components(links)
+    return rows.where("piece is null"), nodes, links
+
+
+def jaccard_link_counts(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and n_links (the other rows that its set links with) of every row.
+
+    Pairs inside components are compared too, so that time grows with the number of
+    close pairs. Copies are not compared: each counts for its node.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, _, links = _links(texts, n, percent, skip=False)
+    links = common.stored(links, "all_links")
+    copies = common.stored(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    beside = both.join(copies, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.sum("copies").alias("beside"))
+    total = (F.col("copies") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links")
+    counts = common.stored(copies.join(beside, "node", "left").select("node", total), "link_counts")
+    return rows.join(counts, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -504,6 +531,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents"))
 
 
+def op3_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of documents that each document links with."""
+    return jaccard_link_counts(common.table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w

@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+        "op3_link_counts": jaccard_join.op3_link_counts,
         "op4_sharding": sharding.op4_sharding,
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op6_source_mixing": source_mixing.op6_source_mixing,

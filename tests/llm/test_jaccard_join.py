@@ -73,3 +73,26 @@ def test_bounds_never_rule_out_a_link():
 def test_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert_same(spark, jj.op3_jaccard_join(spark, sf), jj.OP3_SQL, sf)
+
+
+def brute_link_counts(rows):
+    sets = [shingles(t) for _, t in rows]
+    linked = [sum(1 for k, y in enumerate(sets) if k != j and x and y and 100 * len(x & y) >= 80 * len(x | y)) for j, x in enumerate(sets)]
+    return sorted(((i, len(x), m) for (i, _), x, m in zip(rows, sets, linked)), key=repr)
+
+
+def test_link_counts_inside_components(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jj, "BLOCK", 16)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(2000)]
+    texts = []
+    for words, size, rate in ((60, 40, 0.008), (120, 40, 0.012), (300, 20, 0.015), (12, 10, 0.02)):
+        texts += family(rng, words, size, rate, vocabulary)
+    texts += [texts[0]] * 7 + [texts[45].upper()] * 3 + [None, "", "one", "ONE", "one two three four five"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[1]), (5, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute_link_counts(rows)
+    got = sorted((tuple(r) for r in jj.op3_link_counts(spark, str(tmp_path)).collect()), key=repr)
+    assert got == want
+    assert len({m for _, _, m in want}) > 5
+    assert jj.jaccard_link_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
