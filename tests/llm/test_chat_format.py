@@ -76,20 +76,48 @@ def test_random_conversations_in_any_segmentation(spark):
         got = cf.format_conversations(df, segments=n).collect()
         assert len(got) == len(rows)
         check(rows, got)
-        outs.append({r.conv_id: r.rendered for r in cf.assemble(cf.format_conversations(df, segments=n)).collect()})
-    costs = [sorted((r.conv_id or -1, r.cost) for r in cf.assemble(cf.format_conversations(df, segments=n)).collect()) for n in (1, 40)]
-    assert costs[0] == costs[1]
+        outs.append(sorted(map(tuple, got), key=repr))
+    assert all(o == outs[0] for o in outs)
 
 
 def test_one_conversation_with_most_rows(spark):
     rng = random.Random(13)
-    rows = [(1, t, rng.choice(["user", "assistant", "system"]), f"t{t}") for t in range(900)] + [(c, t, "user", "x") for c in range(2, 40) for t in range(2)]
+    rows = [(1, t, rng.choice(["user", "assistant", "system", "tool"]), f"t{t}") for t in range(900)] + [(c, t, "user", "x") for c in range(2, 40) for t in range(2)]
     df = spark.createDataFrame([(*r, "p", "c") for r in rows], SCHEMA)
     whole = cf.format_conversations(df, segments=1).collect()
-    cut = cf.format_conversations(df, segments=12).collect()
     check(rows, whole)
-    check(rows, cut)
-    assert sum(r.cost for r in whole) == sum(r.cost for r in cut)
+    for n in (3, 12, 60, 200):
+        cut = cf.format_conversations(df, segments=n).collect()
+        assert sorted(map(tuple, cut), key=repr) == sorted(map(tuple, whole), key=repr)
+
+
+def test_a_hundred_thousand_turns_in_one_conversation(spark):
+    role = "element_at(array('system', 'user', 'assistant', 'x', cast(null as string)), cast(pmod(xxhash64(id), 5) + 1 as int)) role"
+    df = spark.range(100_000).selectExpr("7L conv_id", "id turn", role, "concat('text ', id) text")
+    columns = ["turn", "action", "new_role", "inserted_before", "inserted_after", "cost", "position", "rendered"]
+    whole, cut = ([tuple(r) for r in cf.format_conversations(df, segments=n).select(columns).orderBy("turn").collect()] for n in (1, 40))
+    assert whole == cut and [r[0] for r in whole] == [r[6] for r in whole]
+
+
+def test_borders_choose_what_the_whole_would():
+    """Chains of segments against the repair of the uncut roles, with ties."""
+    rng = random.Random(14)
+    for _ in range(2000):
+        roles = bytes(rng.randrange(4) for _ in range(rng.randrange(2, 30)))
+        cuts = sorted({0, len(roles), *(rng.randrange(1, len(roles)) for _ in range(rng.randrange(1, 6)))})
+        found = []
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            now = cf.IDENTITY
+            for r in roles[i:j]:
+                now = cf.chain(now, r)
+            found.append((k, 1, 0, j - i, *([x for row in m for x in row] for m in now)))
+        states = cf.border_states(found)
+        got = []
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            start, before, ends, goes_on = states.get(k, (0, 0, True, None))
+            assert before == i and ends == (j == len(roles))
+            got += cf.repair(roles[i:j], start, goes_on)
+        assert got == cf.repair(roles)
 
 
 def test_real_and_empty(spark):
