@@ -43,6 +43,42 @@ def test_small_groups_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_null_and_repeated_ids_of_a_hot_group_spread(spark):
+    for hot in (None, 5):
+        rows = [(hot, "copied text of half of all rows " * 3) for _ in range(4000)] + [(i, f"text {i} " + "z" * (i % 90)) for i in range(4000)]
+        got = shard_documents(spark.createDataFrame([(*r, "u", 0, "s", "t") for r in rows], SCHEMA)).collect()
+        size = check(rows, got)
+        assert max(size.values()) < 1.01 * min(size.values()), size
+        by_rows = Counter(r.shard for r in got)
+        assert max(by_rows.values()) < 1.02 * min(by_rows.values())
+        assert {r.split for r in got if r.doc_id == hot and r.size > 90} == {True}
+
+
+def brute(rows, shards=8):
+    """Every group by itself, the largest share first, to the highest dot product with what is left."""
+    groups = defaultdict(lambda: np.zeros(3))
+    for _, t in rows:
+        groups[t] += [len(t.encode()) + 1, len(t.split()), 1]
+    total = sum(groups.values())
+    left = [np.full(3, 1 / shards) for _ in range(shards)]
+    out = {}
+    for t, v in sorted(groups.items(), key=lambda g: -max(g[1] / total)):
+        share = v / total
+        best = max(range(shards), key=lambda s: (float(np.dot(left[s], share)), -s))
+        left[best] = left[best] - share
+        out[t] = best
+    return out
+
+
+def test_groups_are_placed_as_by_brute_force(spark):
+    # groups of 1, 2, ... rows: their shares differ, so that the order of placement is defined
+    texts = [f"group {k} " + "word " * (k % 3) for k in range(1, 60) for _ in range(k)]
+    rows = list(enumerate(texts))
+    got = shard_documents(spark.createDataFrame([(*r, "u", 0, "s", "t") for r in rows], SCHEMA), split_from=1, units=100_000).collect()
+    want = brute(rows)
+    assert {r.doc_id: r.shard for r in got} == {i: want[t] for i, t in rows}
+
+
 def test_pack_prefers_residual_in_the_vector_s_direction():
     got = pack(np.array([[9.0, 1.0], [1.0, 9.0], [5.0, 5.0], [5.0, 5.0]]), 2)
     assert got[0] != got[1] and got[2] != got[3]
