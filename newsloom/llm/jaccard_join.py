@@ -7,34 +7,44 @@ never compared.
 
 Any two linking sets share an element of their prefixes: the first
 |A| - ceil(t * |A|) + 1 elements in any common order. The order is rarest
-first: element counts over all documents are kept in a table of fixed size, and
+first: element counts over all documents are kept in a table of bounded size, and
 ties go by hash. An inverted index from prefix elements to sets would give all
 candidates; relations between sets let most of it be skipped:
 
 * *Answers from similar sets.* Sets that share a band of minimum hashes are
-  compared with one representative of the band. The links found join sets into
-  components, and a pair inside a component is answered by it: highly similar sets
-  take over each other's answers and are never enumerated.
+  compared with one representative of the band, their head, and where they link the
+  differing elements are kept (``deltas``). From then on a set's answers follow from
+  its head's: |A & B| is the heads' overlap, computed once for two heads, put right
+  by the differing elements alone. Sets of members are never read again.
+* *Answers from components.* The links found join sets into components; for the
+  components of the result a pair inside one is answered and never enumerated.
 * *Skipped lists.* An index list whose sets all lie in one component can only
   repeat known answers. Per element the smallest and largest component are
-  aggregated, pre-combined in each task; equal ends skip the list whole. Near
-  copies, however many, thereby leave the index.
-* *Skipped blocks and positions.* A list that remains is cut into blocks; block
-  pairs are compared in tasks of their own. Pairs of one component, pairs whose sizes
+  aggregated, pre-combined in each task; equal ends skip the list whole.
+* *Skipped blocks.* A list of more than BLOCK sets is ordered into cells by set size and
+  by the element's position in the set; a cell has blocks of about BLOCK sets. Of
+  each cell only its bounds are known: least and largest size, most elements from
+  the position on, least and largest component. Two cells whose bounds admit no link,
+  or that lie in one component, are skipped with all pairs of their blocks
+  before any set is looked at (``cell_pairs``).
+* *Skipped pairs.* In the block pairs that remain, pairs of one component, pairs whose sizes
   cannot reach the threshold, and pairs that share an element at positions i and
   j with min(|A| - i, |B| - j) below the overlap needed are skipped.
-* *Incremental bound.* The difference of two sets is bounded from below by the
+* *Bound of the difference.* The difference of two sets is bounded from below by the
   difference of their parity vectors (one bit per hash bucket, a hundredth of the
   set's size), computed for whole blocks at once; only pairs within the allowed
-  difference have their sets read and counted.
+  difference are counted.
 
 Each pair of different sets that could link is so either inside a component,
 ruled out by a bound, or counted element by element. Nothing is sampled or
 capped; the result is exact up to collisions of 64-bit hashes.
 
 Scale: texts are hashed twice, and once more for the rows whose sets are compared;
-sets of other rows never travel. No list is gathered in one task. Only tables of fixed
-size (element counts, bit tables) reach the driver, put together in pieces.
+sets of other rows never travel. No list is gathered in one task, and no join goes by
+element alone. Only tables of bounded size (element counts, bit tables) reach the
+driver, put together in pieces; they grow with the data up to MOST_COUNTERS and
+MOST_BITS. Beyond the first, only the more frequent elements are told from each other, which
+makes lists longer; beyond the second, an exact semi-join does what the bits did.
 
 Edges: null or word-less text is the empty set, which links with nothing; texts
 below n words have one shingle of all their words. A row with null id has the
@@ -50,32 +60,42 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import common
 
-COUNTERS = 1 << 20
-BIT_TABLE = 1 << 26
+#: Element counters and bits of tables, by the size of the data, at most so many.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 22
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Pieces in which such tables are put together.
 PARTS = 64
 BINS = 32
 PER_BAND = 2
-WORD_CACHE = 400_000
+#: Nodes that a task remembers; bytes of words whose hashes it does, and the longest of these.
+NODE_CACHE, CACHE_BYTES, CACHED_WORD = 400_000, 24 << 20, 64
 #: Rows of an index list that are compared with as many others in one step.
 BLOCK = 256
+#: Size classes of cells: so many to a factor of 1.25. Position classes: so many to the whole set.
+SIZE_STEPS, POSITION_STEPS = 8, 40
 #: Groups up to this size are paired together with others.
 SMALL = 24
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
 class Hasher(dict):
-    """Hashes of words, kept up to a bound."""
+    """Hashes of words, kept up to a bound of bytes; long words are hashed anew."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_WORD:
+            self.held += len(word)
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = len(word)
+            self[word] = value
         return value
 
     def shingles(self, text: str | None, n: int) -> np.ndarray:
@@ -154,13 +174,18 @@ def joined(pieces: DataFrame, size: int, kind: type, join: Callable) -> np.ndarr
     return out
 
 
+def power_of_two(least: int, wanted: int, most: int) -> int:
+    return min(max(least, 1 << max(wanted - 1, 0).bit_length()), most)
+
+
 def bit_table(keys: DataFrame) -> np.ndarray:
-    """A table of BIT_TABLE bits in which the bit of every long in a column is set."""
-    width = BIT_TABLE // PARTS
+    """A table of bits, 16 a key or MOST_BITS in all, in which the bit of every long in a column of a stored table is set."""
+    bits = power_of_two(LEAST_BITS, 16 * keys.count(), MOST_BITS)
+    width = bits // PARTS
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False)))
+            at = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False), bits))
             yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], ["part", "slot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,50 +198,50 @@ def bit_table(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(f).tobytes()], pa.binary())], ["part", "piece"])
 
     dealt = keys.mapInArrow(slots, "part int, slot int").distinct().repartition(PARTS, "part")
-    return joined(dealt.mapInArrow(run, "part int, piece binary"), BIT_TABLE // 8, np.uint8, np.bitwise_or)
+    return joined(dealt.mapInArrow(run, "part int, piece binary"), bits // 8, np.uint8, np.bitwise_or)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     x = keys.astype(np.int64).view(np.uint64) * MIX[2]
-    return ((x >> np.uint64(33)) & np.uint64(BIT_TABLE - 1)).astype(np.int64)
+    return ((x >> np.uint64(33)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def has(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _slot(keys)
+    at = _slot(keys, 8 * len(table))
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
 # ---------------------------------------------------------------- passes over texts
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node, size of each row; bands and bits once per task and node; at a task's end its element counts in pieces."""
+def describe(docs: DataFrame, n: int, counters: int) -> DataFrame:
+    """doc_id, text_h, node, size of each row; bands and bits once per task and node; at a task's end its element counts in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, counts = Hasher(), set(), np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "node", "size", "bands", "bits", "part", "piece"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
+        hashes, seen, counts = Hasher(), set(), np.zeros(counters, np.int64)
+        names = ["doc_id", "text_h", "node", "size", "bands", "bits", "part", "piece"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
         for whole in batches:
             for batch in common.slices(whole, "text"):
                 rows, slots = [], []
-                for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for i, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_h", "text")), strict=True):
                     s = hashes.shingles(text, n)
                     node = node_of(s)
                     new = node is not None and node not in seen
                     if new:
                         seen.add(node)
                     slots.append(s)
-                    rows.append((i, node, len(s), band_keys(s) if new else None, parity(s) if new else None, None, None))
-                counts += np.bincount((np.concatenate(slots) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                if len(seen) > WORD_CACHE:
+                    rows.append((i, h, node, len(s), band_keys(s) if new else None, parity(s) if new else None, None, None))
+                counts += np.bincount((np.concatenate(slots) & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+                if len(seen) > NODE_CACHE:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         if counts.any():
             pieces = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(PARTS, -1)
-            columns = [[None] * PARTS] * 5 + [list(range(PARTS)), [p.tobytes() for p in pieces]]
+            columns = [[None] * PARTS] * 6 + [list(range(PARTS)), [p.tobytes() for p in pieces]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, bands array<long>, bits binary, part int, piece binary")
+    return docs.mapInArrow(run, "doc_id long, text_h long, node long, size long, bands array<long>, bits binary, part int, piece binary")
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -234,10 +259,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataF
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    often = table[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    often = table[(s & np.uint64(len(table) - 1)).astype(np.int64)]
                     first = s[np.argsort(often, kind="stable")[: prefix_size(len(s), percent)]]
                     rows.append((node, len(s), first.view(np.int64)))
-                if len(seen) > WORD_CACHE:
+                if len(seen) > NODE_CACHE:
                     seen.clear()
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
@@ -250,7 +275,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataF
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node and elements of the wanted (node, doc_id); other rows are passed over by a bit table of ids."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))))  # MOST_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, bits = Hasher(), set(), table.value
@@ -296,12 +321,123 @@ def _close_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "x long, y long")
 
 
+def _links_at(both: Column, total: Column, percent: int) -> Column:
+    return 100 * both >= percent * (total - both)
+
+
 def counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (x, y) that link, by their elements."""
+    """The (x, y) that link, by their elements, with those of y that x lacks (minus) and those of x that y lacks (plus)."""
     left, right = sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), sets.select(F.col("node").alias("y"), F.col("elements").alias("ey"))
-    both = F.size(F.array_intersect("ex", "ey"))
-    links = 100 * both >= percent * (F.size("ex") + F.size("ey") - both)
-    return pairs.join(left, "x").join(right, "y").where(links).select("x", "y")
+    apart = pairs.join(left, "x").join(right, "y").select("x", "y", F.size("ex").alias("nx"), F.size("ey").alias("ny"), F.array_except("ey", "ex").alias("minus"), F.array_except("ex", "ey").alias("plus"))
+    return apart.where(_links_at(F.col("ny") - F.size("minus"), F.col("nx") + F.col("ny"), percent)).select("x", "y", "minus", "plus")
+
+
+def derived(pairs: DataFrame, deltas: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (x, y) that link, from the answers of their heads.
+
+    A set is its head less ``minus`` and with ``plus``; a set without a head is its own. The overlap of
+    two sets is that of their heads, less what x or y lacks of it, and what plus adds to it: all
+    sizes of intersections with a difference, save one for each two heads.
+    """
+    empty = F.array().cast("array<long>")
+
+    def member(side: str) -> DataFrame:
+        return deltas.select(F.col("node").alias(side), F.col("head").alias("h" + side), F.col("minus").alias("m" + side), F.col("plus").alias("p" + side))
+
+    def filled(side: str) -> list[Column]:
+        return [F.coalesce("h" + side, side).alias("h" + side), *(F.coalesce(c + side, empty).alias(c + side) for c in "mp")]
+
+    known = common.stored(pairs.join(member("x"), "x", "left").join(member("y"), "y", "left").select("x", "y", *filled("x"), *filled("y")), "members")
+    apart = known.where("hx <> hy")
+    ends = apart.select(F.col("hx").alias("node")).union(apart.select(F.col("hy").alias("node"))).distinct()
+    sets = sets_of(docs, common.stored(nodes.select("node", "doc_id").join(ends, "node"), "heads"), n)
+    two = apart.select("hx", "hy").distinct()
+    of = lambda side: sets.select(F.col("node").alias("h" + side), F.col("elements").alias("e" + side))
+    heads = common.stored(two.join(of("x"), "hx").join(of("y"), "hy").select("hx", "hy", F.size(F.array_intersect("ex", "ey")).alias("both")), "head_overlaps")
+
+    def against(side: str, other: str) -> DataFrame:
+        """Of each member that differs from its head: how much of the differences the other head has."""
+        rows = apart.where(F.size("m" + side) + F.size("p" + side) > 0).select(side, "h" + other, "m" + side, "p" + side).dropDuplicates([side, "h" + other])
+        sizes = (F.size(F.array_intersect(c + side, "e" + other)).alias(c + side + "h") for c in "mp")
+        return common.stored(rows.join(of(other), "h" + other).select(side, "h" + other, *sizes), "against")
+
+    size = nodes.select(F.col("node").alias("at"), F.col("size").alias("n"))
+    common_part = lambda a, b: F.size(F.array_intersect(a, b))
+    same = known.where("hx = hy").join(size.withColumnRenamed("at", "hx"), "hx")
+    same = same.withColumn("both", F.col("n") - F.size("mx") - F.size("my") + common_part("mx", "my") + common_part("px", "py"))
+    across = apart.join(heads, ["hx", "hy"]).join(against("x", "y"), ["x", "hy"], "left").join(against("y", "x"), ["y", "hx"], "left")
+    part = lambda c: F.coalesce(c, F.lit(0))
+    across = across.withColumn(
+        "both",
+        F.col("both") - part("mxh") - part("myh") + part("pxh") + part("pyh")
+        + common_part("mx", "my") - common_part("px", "my") - common_part("py", "mx") + common_part("px", "py"),
+    )
+    found = same.select("x", "y", "both").unionByName(across.select("x", "y", "both"))
+    sized = found.join(size.select(F.col("at").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("at").alias("y"), F.col("n").alias("ny")), "y")
+    return common.stored(sized.where(_links_at(F.col("both"), F.col("nx") + F.col("ny"), percent)).select("x", "y"), "links")
+
+
+# ---------------------------------------------------------------- blocks of long lists
+
+
+def cells_of(entries: DataFrame) -> DataFrame:
+    """entries (element, node, component, position, size) with the cell each belongs to: classes of size and position."""
+    size_class = F.floor(F.log("size") * F.lit(SIZE_STEPS / math.log(1.25))).cast("int")
+    position_class = F.least(F.floor(F.col("position") * POSITION_STEPS / F.col("size")), F.lit(POSITION_STEPS - 1)).cast("int")
+    return entries.withColumns({"size_class": size_class, "position_class": position_class})
+
+
+def cell_pairs(entries: DataFrame, percent: int, skip: bool = True) -> DataFrame:
+    """Per cell of the long lists, (element, size_class, position_class), its blocks and the cells with which it is compared.
+
+    Cells are taken together only if their size classes are so near that sets can link, and only if
+    no bound rules all their pairs out. Without ``skip`` that is every two cells of a list in reach.
+    """
+    key = ["element", "size_class", "position_class"]
+    cells = common.stored(
+        cells_of(entries)
+        .groupBy(*key)
+        .agg(
+            F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+            F.min("size").alias("least"),
+            F.max("size").alias("most"),
+            F.max(F.col("size") - F.col("position")).alias("room"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        ),
+        "cells",
+    )
+    # the larger of two linking sets is at most 100 / percent times the smaller
+    reach = math.ceil(SIZE_STEPS * math.log(100 / percent) / math.log(1.25)) + 1
+    near = F.explode(F.sequence(F.col("size_class") - reach, F.col("size_class") + reach)).alias("near")
+    mine = cells.select("*", near)
+    theirs = cells.select("element", F.col("size_class").alias("near"), *(F.col(c).alias("o_" + c) for c in ("position_class", "blocks", "least", "most", "room", "low", "high")))
+    need = lambda a, b: F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
+    small, large = F.least("most", "o_most"), F.greatest("least", "o_least")
+    possible = (
+        ((small >= large) | (need(small, large) <= small))
+        & (need(F.col("least"), F.col("o_least")) <= F.least("room", "o_room"))
+        & ~((F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low")))
+    )
+    both = mine.join(theirs, ["element", "near"])
+    both = both.where(possible) if skip else both
+    partner = F.struct(F.col("near").alias("size_class"), F.col("o_position_class").alias("position_class"), F.col("o_blocks").alias("blocks"))
+    # as many partners as there are size classes in reach and position classes
+    return common.stored(both.groupBy(*key).agg(F.first("blocks").alias("blocks"), F.collect_list(partner).alias("partners")), "partners")
+
+
+def _block_id(size_class: Column, position_class: Column, block: Column) -> Column:
+    return ((size_class.cast("long") * POSITION_STEPS + position_class) * (1 << 32)) + block
+
+
+def dealt_blocks(entries: DataFrame, partners: DataFrame) -> DataFrame:
+    """Rows of long lists, one for each block pair that is not skipped: a and b are the blocks, block the row's own."""
+    rows = cells_of(entries).join(partners, ["element", "size_class", "position_class"])
+    own = _block_id(F.col("size_class"), F.col("position_class"), F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("block", own).withColumn("partner", F.explode("partners"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("partner.blocks") - 1)))
+    other = _block_id(F.col("partner.size_class"), F.col("partner.position_class"), F.col("k"))
+    return rows.withColumn("a", F.least("block", other)).withColumn("b", F.greatest("block", other)).select(*entries.columns, "a", "b", "block")
 
 
 def _group_starts(g: dict[str, np.ndarray]) -> np.ndarray:
@@ -399,10 +535,14 @@ def _list_pairs(rows: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_h"))
+
+
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, nodes, components) of (doc_id, text).
+    """(rows, nodes, components) of (doc_id, text, text_h).
 
-    rows: doc_id, node, size of each row. nodes: node, size, bits, doc_id (the smallest).
+    rows: doc_id, text_h, node, size of each row. nodes: node, size, bits, doc_id (the smallest).
     components: node, component of each node that links to another.
     """
     rows, nodes, links = _links(docs, n, percent, skip=True)
@@ -415,33 +555,36 @@ def _links(docs: DataFrame, n: int, percent: int, skip: bool) -> tuple[DataFrame
     With ``skip``, as many links as the components need: pairs that one component answers
     are left out. Without, every link, once.
     """
-    rows = common.stored(describe(docs, n), "described")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = power_of_two(LEAST_COUNTERS, size // 512, MOST_COUNTERS)
+    rows = common.stored(describe(docs, n, counters), "described")
     distinct = rows.where("bits is not null").select("node", "size", "bits", "bands")
     nodes = common.stored(
         distinct.dropDuplicates(["node"]).join(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "nodes"
     )
-    bits = nodes.select("node", "size", "bits")
+    bits = nodes.select("node", "bits")
 
     def beside(pairs: DataFrame) -> DataFrame:
-        x = bits.select(F.col("node").alias("x"), F.col("size").alias("nx"), F.col("bits").alias("bx"))
-        y = bits.select(F.col("node").alias("y"), F.col("size").alias("ny"), F.col("bits").alias("by"))
+        x = nodes.select(F.col("node").alias("x"), F.col("size").alias("nx"), F.col("bits").alias("bx"))
+        y = nodes.select(F.col("node").alias("y"), F.col("size").alias("ny"), F.col("bits").alias("by"))
         return pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", "bx", "by")
 
-    def exact(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-        wanted = common.stored(nodes.select("node", "doc_id").join(ends, "node"), "wanted")
-        return common.stored(counted(pairs, sets_of(docs, wanted, n), percent), "links")
-
     # similar sets against the representatives of their bands
-    bands = common.stored(nodes.where(F.lit(skip)).select("node", F.explode("bands").alias("band")), "bands")
+    bands = common.stored(nodes.select("node", F.explode("bands").alias("band")), "bands")
     heads = common.stored(bands.groupBy("band").agg(F.min("node").alias("y"), F.max("node").alias("z")).where("y <> z").select("band", "y"), "heads")
     star = bands.join(heads, "band").where("node <> y").select(F.col("node").alias("x"), "y").distinct()
-    first = exact(common.stored(_close_pairs(beside(star), percent), "close")) if skip else star
-    known = common.stored(common.connected_components(first.select(F.col("x").alias("src"), F.col("y").alias("dst"))), "known")
+    star = common.stored(_close_pairs(beside(star), percent), "close")
+    ends = star.select(F.col("x").alias("node")).union(star.select(F.col("y").alias("node"))).distinct()
+    sets = sets_of(docs, common.stored(nodes.select("node", "doc_id").join(ends, "node"), "wanted"), n)
+    first = common.stored(counted(star, sets, percent), "first")
+    deltas = common.stored(
+        first.groupBy(F.col("x").alias("node")).agg(F.min(F.struct(F.col("y").alias("head"), "minus", "plus")).alias("d")).select("node", "d.*"), "deltas"
+    )
+    known = common.stored(common.connected_components(first.where(F.lit(skip)).select(F.col("x").alias("src"), F.col("y").alias("dst"))), "known")
 
     # the index, without lists of one component
     pieces = rows.where("piece is not null").select("part", "piece")
-    counts = joined(pieces, COUNTERS, np.int32, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
+    counts = joined(pieces, counters, np.int32, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
     index = common.stored(
         prefixes(docs, n, percent, counts).join(known, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"), "prefix"),
         "index",
@@ -451,11 +594,12 @@ def _links(docs: DataFrame, n: int, percent: int, skip: bool) -> tuple[DataFrame
         lists.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length")).where("low <> high").select("element", "length"),
         "mixed",
     )
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(mixed.select("element")))
+    # tables of MOST_BITS at most
+    tables = docs.sparkSession.sparkContext.broadcast((bit_table(mixed.select("element")), bit_table(mixed.where(F.col("length") > BLOCK).select("element"))))
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The index entries whose element may be of a list that remains."""
-        flags = table.value
+        """The index entries whose element may be of a list that remains, and whether that may be a long one."""
+        flags, longer = tables.value
         for batch in batches:
             prefix = batch.column("prefix")
             sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
@@ -465,25 +609,25 @@ def _links(docs: DataFrame, n: int, percent: int, skip: bool) -> tuple[DataFrame
             keep = has(flags, element)
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(element[keep]), batch.column("node").take(take), batch.column("component").take(take), pa.array(place[keep].astype(np.int64))],
-                ["element", "node", "component", "position"],
+                [pa.array(element[keep]), *(batch.column(c).take(take) for c in ("node", "component", "size")), pa.array(place[keep].astype(np.int64)), pa.array(has(longer, element[keep]))],
+                ["element", "node", "component", "size", "position", "longer"],
             )
 
-    entries = index.select("node", "component", "prefix").mapInArrow(live, "element long, node long, component long, position long")
-    entries = common.stored(entries.join(mixed, "element").dropDuplicates(["element", "node"]), "entries")
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    entries = index.select("node", "component", "size", "prefix").mapInArrow(live, "element long, node long, component long, size long, position long, longer boolean")
+    if 8 * len(tables.value[0]) >= MOST_BITS:  # the bits let many other elements through
+        entries = entries.join(mixed.select("element"), "element", "left_semi")
+    entries = common.stored(entries.dropDuplicates(["element", "node"]), "entries")
+    short = entries.where("not longer").drop("longer").select("*", *(F.lit(0).cast("long").alias(c) for c in ("a", "b", "block")))
+    long_lists = entries.where("longer").drop("longer")
     dealt = (
-        entries.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("a", F.least("block", "other"))
-        .withColumn("b", F.greatest("block", "other"))
+        short.unionByName(dealt_blocks(long_lists, cell_pairs(long_lists, percent)))
         .join(bits, "node")
         .select("element", "a", "b", "block", "node", "size", "component", "position", "bits")
         .repartition("element", "a", "b")
         .sortWithinPartitions("element", "a", "b")
     )
-    second = exact(common.stored(_list_pairs(dealt, percent), "candidates"))
-    links = first.unionByName(second).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    second = derived(common.stored(_list_pairs(dealt, percent), "candidates"), deltas, docs, nodes, n, percent)
+    links = (first.select("x", "y").unionByName(second) if skip else second).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     return rows.where("piece is null"), nodes, links
 
 
@@ -493,8 +637,7 @@ def jaccard_link_counts(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
     Pairs inside components are compared too, so that time grows with the number of
     close pairs. Copies are not compared: each counts for its node.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, _, links = _links(texts, n, percent, skip=False)
+    rows, _, links = _links(_texts(docs, id_col, text_col), n, percent, skip=False)
     links = common.stored(links, "all_links")
     copies = common.stored(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -504,11 +647,15 @@ def jaccard_link_counts(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
     return rows.join(counts, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _placed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """rows of jaccard_links, and (node, root, doc_id): the smallest node that each node reaches and its own smallest id."""
+    rows, nodes, components = jaccard_links(docs, n, percent)
+    return rows, common.stored(nodes.select("node", "doc_id").join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root")), "placed")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, nodes, components = jaccard_links(texts, n, percent)
-    placed = common.stored(nodes.select("node", "doc_id").join(components, "node", "left").withColumn("root", F.coalesce("component", "node")), "placed")
+    rows, placed = _placed(_texts(docs, id_col, text_col), n, percent)
     least = common.stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     final = common.stored(placed.join(least, "root").select("node", "component_id"), "final")
     return rows.join(final, "node", "left").select(
@@ -517,13 +664,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
 
 def keep_one_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with their columns.
+    """One row of each component, with the columns of docs: the one with the smallest id, then the smallest hash of its text.
 
-    Ids are taken to be unique; a row without one is never dropped.
+    Ids need not be unique: rows are told apart by id and text, so that an unlike text which shares an id
+    stays. A null id comes after all others. Of rows alike in id and text one stays. Rows without words are in no component and all stay.
     """
-    gone = jaccard_components(docs, n, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    gone = common.stored(gone, "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    rows, placed = _placed(_texts(docs, id_col, text_col), n, percent)
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_h")
+    ranked = rows.where("node is not null").join(placed.select("node", "root"), "node").select("root", F.col("doc_id").alias("id"), "text_h")
+    ranked = common.stored(ranked, "ranked")
+    first = common.stored(ranked.groupBy("root").agg(F.min(rank).alias("first")), "firsts")
+    told = [F.col("id").alias("__id"), F.col("text_h").alias("__h")]
+    gone = ranked.join(first, "root").where(rank != F.col("first")).select(*told).distinct()
+    again = common.stored(ranked.groupBy(*told).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
+    left = docs.join(common.stored(gone, "gone"), match, "left_anti")
+    if again.isEmpty():
+        return left
+    alike = left.join(again, match, "left_semi").withColumns({"__id": F.col(id_col), "__h": F.xxhash64(text_col)}).dropDuplicates(["__id", "__h"])
+    return left.join(again, match, "left_anti").unionByName(alike.drop("__id", "__h"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,58 @@ def test_link_counts_inside_components(spark, monkeypatch, tmp_path):
     assert got == want
     assert len({m for _, _, m in want}) > 5
     assert jj.jaccard_link_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_whole_blocks_are_skipped_and_no_possible_pair_is(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    rng = random.Random(13)
+    rows = []
+    for node in range(700):
+        size = int(10 * 1.01 ** rng.randrange(400))
+        rows.append((1, node, node // 3 if node < 300 else 1000, size, rng.randrange(jj.prefix_size(size, 80))))
+    entries = spark.createDataFrame(rows, "element long, node long, component long, size long, position long").cache()
+
+    def block_pairs(partners):
+        dealt = jj.dealt_blocks(entries, partners).collect()
+        blocks = {r.node: r.block for r in dealt}
+        return {(r.a, r.b) for r in dealt}, blocks
+
+    kept, block = block_pairs(jj.cell_pairs(entries, 80))
+    near, _ = block_pairs(jj.cell_pairs(entries, 80, skip=False))
+    every = len({jj_block for jj_block in block.values()})
+    possible = 0
+    for (_, x, cx, nx, px), (_, y, cy, ny, py) in combinations(rows, 2):
+        need = jj.allowed(np.array(nx + ny), 80)
+        if cx != cy and min(nx, ny) >= need and min(nx - px, ny - py) >= need:
+            possible += 1
+            assert tuple(sorted((block[x], block[y]))) in kept
+    assert possible > 1000 and kept < near
+    skipped = 1 - len(kept) / (every * (every + 1) / 2)
+    assert skipped > 0.5, skipped
+
+
+def test_keep_one_each_tells_rows_apart_by_id_and_text(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    unlike = " ".join(f"v{i}" for i in range(30))
+    rows = [(3, a), (5, a + " tail"), (5, unlike), (7, unlike), (7, unlike), (None, a + " end"), (None, "quite alone in here"), (9, None), (9, None), (9, "")]
+    rows += [(11, "twice the very same row here"), (11, "twice the very same row here")]
+    df = spark.createDataFrame([(i, t, 0, "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in jj.keep_one_each(df).collect()), key=repr)
+    want = [(3, a), (5, unlike), (None, "quite alone in here"), (9, None), (9, None), (9, ""), (11, "twice the very same row here")]
+    assert got == sorted(want, key=repr)
+    assert jj.keep_one_each(df).columns == df.columns
+
+
+def test_long_lists_of_unlike_sets(spark, monkeypatch):
+    """One shingle in the prefix of most sets, families of close sets among them."""
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = ["one two three four five " + " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 14))) for _ in range(200)]
+    for k in range(30):
+        base = texts[k].split()
+        texts += [" ".join([*base, f"x{k}"]), " ".join([*base, f"x{k}", f"y{k}"])]
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jj.jaccard_link_counts(df).collect()), key=repr) == brute_link_counts(rows)
