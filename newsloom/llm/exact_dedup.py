@@ -3,33 +3,35 @@
 The text of a row is normalised by deleting ASCII white space; rows whose
 normalised texts are the same bytes form a group.
 
-1. Copies are folded before anything moves: rows are grouped by their hash key
-   and normalised text. Spark combines inside each task first, so a group
-   that holds a third of all rows leaves a task as one row, and grouping on
-   the text itself is a comparison of bytes.
-2. The directory starts with one bucket and doubles while a bucket holds more
-   keys than its capacity; splitting a bucket looks at one more bit of the
-   hash. Only key counts per hash prefix reach the driver, at most
-   2**max_depth of them whatever the input.
-3. The index is written to the shared folder in key-range order. Each owner
-   task writes and later reads a range of buckets; keys whose texts differ
-   although their hash agrees are chained, told apart by their digest.
-4. Every row probes the index by bucket, hash and digest.
+1. *Keys.* Each row's hash key, code points and id are written to the shared folder.
+2. *Directory.* Keys, not rows, are counted per hash prefix, and the directory doubles
+   while a bucket holds more keys than its capacity: splitting a bucket looks at one
+   more bit of the hash. The driver holds 2**DRIVER_DEPTH prefixes at most; a prefix that
+   is still overfull gets further bits by its own count, which is checked until every
+   bucket fits (or its keys have no bits left). So buckets keep to their capacity at any size.
+3. *Routing.* Texts are dealt to the buckets of their keys. Copies are folded in each
+   task first, so a group that holds a third of all rows leaves a task as one row.
+4. *Owners.* An owner task has a range of buckets in key order. Texts of one key form a
+   chain, told apart by their bytes; every entry keeps its survivor and size. The owners
+   write the index to the shared folder, sorted by bucket and key.
+5. *Probing.* Every row looks up its bucket and key. Where the chain has one text, that is
+   the row's: the index was built of these rows. Where it has more, the row walks
+   it with its own text, comparing bytes. Keys of large groups are joined by a broadcast
+   of at most HOT such entries and their rows need no shuffle.
 
 Behaviour at the edges: a null text counts as empty, and all empty or
 white-space texts form one group. A null doc_id is a row like any other and
 never wins against an id; repeated rows all count, and one representative row
 is kept per group: of rows that agree in code points and doc_id too, all are
 marked kept, since nothing tells them apart. Columns of the caller beyond
-doc_id and text are ignored; an empty table gives an empty result. Ids are
-integers; texts that shared both the 64-bit key and SHA-256 would chain alike.
+doc_id and text are ignored; an empty table gives an empty result. Ids are integers.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import common
@@ -37,6 +39,10 @@ from newsloom.llm import common
 MAX_ID = 2**63 - 1
 #: More than any two ids are apart, so that code points decide first.
 ID_SPAN = 2 * 10**19
+#: Leading bits of which the driver holds the directory.
+DRIVER_DEPTH = 12
+#: Groups with more than 1 / HOT of all rows are joined by broadcast.
+HOT = 1000
 
 
 def normalised(text: str | Column) -> Column:
@@ -47,12 +53,14 @@ def normalised(text: str | Column) -> Column:
     return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
+    """doc_id, n_cp, h (the leading ``key_bits`` of the text's hash) and body of each row."""
+    h = F.xxhash64("body") if key_bits == 64 else F.shiftleft(F.shiftright(F.xxhash64("body"), 64 - key_bits), 64 - key_bits)
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_cp"),
         normalised(text_col).alias("body"),
-    ).select("doc_id", "n_cp", F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("digest"), "body")
+    ).select("doc_id", "n_cp", h.alias("h"), "body")
 
 
 def grow_directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tuple[int, int, int]]:
@@ -60,7 +68,7 @@ def grow_directory(counts: dict[int, int], capacity: int, max_depth: int) -> lis
 
     ``counts`` gives the keys per prefix of ``max_depth`` leading bits. Returns
     (local depth, bucket prefix, keys) in key order; the prefixes partition
-    the key space. A bucket deeper than max_depth is not split further.
+    the key space. A bucket deeper than max_depth is not split here.
     """
     work, done = [(0, 0)], []
     while work:
@@ -74,88 +82,116 @@ def grow_directory(counts: dict[int, int], capacity: int, max_depth: int) -> lis
     return sorted(done, key=lambda x: x[1] << (max_depth - x[0]))
 
 
-def _directory(docs_keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """prefix -> bucket for all 2**max_depth prefixes: a table of that many rows."""
-    counts = {r["prefix"]: r["n"] for r in docs_keys.groupBy(_prefix(max_depth)).agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for bucket, (depth, prefix, _) in enumerate(grow_directory(counts, capacity, max_depth)):
-        span = 1 << (max_depth - depth)
-        rows += [(p, bucket) for p in range(prefix * span, (prefix + 1) * span)]
-    return docs_keys.sparkSession.createDataFrame(rows, "prefix int, bucket int")
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - bits).alias("prefix")
 
 
-def _prefix(max_depth: int) -> Column:
-    return F.shiftrightunsigned("h", 64 - max_depth).cast("int").alias("prefix")
+def _bucket(depth: Column) -> Column:
+    """The leading ``depth`` bits of h, marked with a bit before them so that depths differ."""
+    bits = F.when(depth < 64, F.expr("shiftrightunsigned(h, 64 - depth)")).otherwise(F.col("h"))
+    return F.when(depth == 0, F.lit(1)).when(depth < 63, bits + F.expr("shiftleft(1L, depth)")).otherwise(bits).cast("long")
+
+
+def directory(keys: DataFrame, capacity: int, driver_depth: int = DRIVER_DEPTH) -> DataFrame:
+    """prefix -> depth for all 2**driver_depth prefixes: how many bits of a key name its bucket.
+
+    ``keys`` (h) is a stored table of distinct keys.
+    """
+    spark = keys.sparkSession
+    counts = {r["prefix"]: r["n"] for r in keys.groupBy(_prefix(driver_depth)).agg(F.count("*").alias("n")).collect()}
+    depths = {}
+    for depth, prefix, n in grow_directory(counts, capacity, driver_depth):
+        span = 1 << (driver_depth - depth)
+        # overfull at the driver's depth: as many more bits as even halves would take
+        more = max(0, (-(-n // capacity) - 1).bit_length()) if depth == driver_depth else 0
+        depths |= dict.fromkeys(range(prefix * span, (prefix + 1) * span), depth + more)
+    while True:
+        table = spark.createDataFrame(sorted(depths.items()), "prefix long, depth int")
+        if max(depths.values()) <= driver_depth:
+            return table
+        routed = keys.withColumn("prefix", _prefix(driver_depth)).join(F.broadcast(table), "prefix").where(F.col("depth").between(driver_depth + 1, 63))
+        sizes = routed.groupBy("prefix", _bucket(F.col("depth")).alias("bucket")).agg(F.count("*").alias("n"))
+        full = [r["prefix"] for r in sizes.where(F.col("n") > capacity).select("prefix").distinct().collect()]  # prefixes of the driver's depth
+        if not full:
+            return table
+        depths |= {p: depths[p] + 1 for p in full}
+
+
+def routed(keyed: DataFrame, table: DataFrame, driver_depth: int = DRIVER_DEPTH) -> DataFrame:
+    """keyed rows with the bucket of their key; the table has 2**driver_depth rows."""
+    rows = keyed.withColumn("prefix", _prefix(driver_depth)).join(F.broadcast(table), "prefix")
+    return rows.withColumn("bucket", _bucket(F.col("depth"))).drop("prefix", "depth")
 
 
 def build_index(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, max_depth: int = 12
-) -> tuple[DataFrame, DataFrame]:
-    """The stored index, one row per distinct normalised text, and its directory.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, driver_depth: int = DRIVER_DEPTH, key_bits: int = 64
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, index, directory), all stored.
 
-    Index columns: bucket, h, chain (place among texts of one hash key), digest,
-    best (most code points), keep_id (smallest id among those), group_size.
+    rows: doc_id, n_cp, h, bucket of each row. index: a row per key with bucket, h and its chain of
+    (digest, best: most code points, keep_id: smallest id among those, group_size, body: only in chains of several).
     """
+    keyed = _keyed(docs, id_col, text_col, key_bits)
+    plain = common.stored(keyed.drop("body"), "rows")
+    table = common.stored(directory(common.stored(plain.select("h").distinct(), "keys"), capacity, driver_depth), "directory")
     # One number orders rows by code points, then smallest id; a null id comes last.
     span, top = F.lit(Decimal(ID_SPAN)), F.lit(Decimal(MAX_ID))
     rank = F.col("n_cp").cast("decimal(12,0)") * span + F.coalesce(top - F.col("doc_id") + 1, F.lit(Decimal(0)))
-    texts = (
-        _keyed(docs, id_col, text_col)
-        .groupBy("h", "digest", "body")
-        .agg(F.max(rank.cast("decimal(38,0)")).alias("rank"), F.count("*").alias("group_size"))
-        .select("h", "digest", "rank", "group_size")
-    )
+    texts = routed(keyed, table, driver_depth).groupBy("bucket", "h", "body").agg(F.max(rank.cast("decimal(38,0)")).alias("rank"), F.count("*").alias("group_size"))
     left = F.col("rank") % span
-    entries = common.stored(
-        texts.select(
-            "h",
-            "digest",
-            ((F.col("rank") - left) / span).cast("long").alias("best"),
-            F.when(left > 0, top - left + 1).cast("long").alias("keep_id"),
-            "group_size",
-        ),
-        "entries",
-    )
-    directory = common.stored(_directory(entries, capacity, max_depth), "directory")
-    chain = F.row_number().over(Window.partitionBy("h").orderBy("digest"))
-    owned = (
-        entries.withColumn("chain", chain)
-        .withColumn("prefix", _prefix(max_depth))
-        .join(F.broadcast(directory), "prefix")
-        .select("bucket", "h", "chain", "digest", "best", "keep_id", "group_size")
+    entry = F.struct(
+        F.sha2("body", 256).alias("digest"),
+        ((F.col("rank") - left) / span).cast("long").alias("best"),
+        F.when(left > 0, top - left + 1).cast("long").alias("keep_id"),
+        "group_size",
+        "body",
     )
-    index = owned.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain")
-    return common.stored(index, "index"), directory
+    # texts are told apart already; a key has more than one only if its hash collides
+    chain = F.array_sort(F.collect_list("entry"))
+    bare = F.transform("chain", lambda e: e.withField("body", F.lit(None).cast("string")))
+    chains = texts.select("bucket", "h", entry.alias("entry")).groupBy("bucket", "h").agg(chain.alias("chain"))
+    chains = chains.select("bucket", "h", F.when(F.size("chain") > 1, F.col("chain")).otherwise(bare).alias("chain"))
+    index = common.stored(chains.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index")
+    return routed(plain, table, driver_depth), index, table
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, max_depth: int = 12
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, driver_depth: int = DRIVER_DEPTH, key_bits: int = 64
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    index, directory = build_index(docs, id_col, text_col, capacity, max_depth)
-    rows = (
-        _keyed(docs, id_col, text_col)
-        .select("doc_id", "n_cp", "h", "digest", _prefix(max_depth))
-        .join(F.broadcast(directory), "prefix")
-    )
-    return rows.join(index, ["bucket", "h", "digest"]).select(
+    rows, index, table = build_index(docs, id_col, text_col, capacity, driver_depth, key_bits)
+    single = index.where("size(chain) = 1").select("bucket", "h", F.get("chain", F.lit(0)).dropFields("body").alias("entry"))
+    n = rows.agg(F.count("*")).first()[0]
+    # fewer than HOT entries
+    hot = common.stored(single.where(F.col("entry.group_size") * HOT > n).select(F.col("h").alias("hot_h"), F.col("entry").alias("hot")), "hot")
+    # rows of hot keys probe here; a number of their own in place of the key keeps them apart in the join
+    known = rows.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
+    cold = F.col("hot").isNull()
+    known = known.select("doc_id", "n_cp", "hot", F.when(cold, F.col("bucket")).otherwise(0).alias("bucket"), F.when(cold, F.col("h")).otherwise(F.col("row")).alias("h"))
+    probed = known.join(single, ["bucket", "h"], "left").select("doc_id", "n_cp", F.coalesce("hot", "entry").alias("entry")).where("entry is not null")
+    chained = index.where("size(chain) > 1")
+    if not chained.isEmpty():
+        texts = routed(_keyed(docs, id_col, text_col, key_bits), table, driver_depth)
+        walked = texts.join(chained, ["bucket", "h"]).select("doc_id", "n_cp", F.get(F.filter("chain", lambda e: e["body"] == F.col("body")), F.lit(0)).dropFields("body").alias("entry"))
+        probed = probed.unionByName(walked)
+    return probed.select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        ((F.col("n_cp") == F.col("best")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        "entry.keep_id",
+        "entry.group_size",
+        ((F.col("n_cp") == F.col("entry.best")) & F.col("doc_id").eqNullSafe(F.col("entry.keep_id"))).alias("kept"),
+        F.col("entry.digest").alias("text_sha256"),
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, max_depth: int = 12) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000) -> DataFrame:
     """The rows of docs that stay, with their columns; of rows alike in id and text, one.
 
     A row is looked up by its own id, hash and length among the entries that
-    stay, so that the copies of a large group spread over all tasks.
+    stay, so that the copies of a large group spread over all tasks; its digest decides.
     """
-    index, _ = build_index(docs, id_col, text_col, capacity, max_depth)
-    stays = index.select(
-        F.xxhash64("keep_id", F.col("keep_id").isNull(), "h", "best").alias("__key"), F.col("digest").alias("__stays"), F.col("best").alias("__best")
+    _, index, _ = build_index(docs, id_col, text_col, capacity)
+    stays = index.select("h", F.explode("chain").alias("e")).select(
+        F.xxhash64("e.keep_id", F.col("e.keep_id").isNull(), "h", "e.best").alias("__key"), F.col("e.digest").alias("__stays"), F.col("e.best").alias("__best")
     )
     body = normalised(text_col)
     length = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")

@@ -1,8 +1,8 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from newsloom.llm.exact_dedup import OP7_SQL, exact_dedup, grow_directory, op7_exact_dedup
+from newsloom.llm.exact_dedup import OP7_SQL, build_index, directory, exact_dedup, grow_directory, op7_exact_dedup
 from tests.conftest import SF
 from tests.llm.oracle import assert_same
 
@@ -31,11 +31,35 @@ ROWS = [
 
 def test_matches_brute_force_with_clashing_columns(spark):
     df = spark.createDataFrame([(i, t, "x", 7, 3) for i, t in ROWS], SCHEMA)
-    got = exact_dedup(df, capacity=2, max_depth=4)
+    got = exact_dedup(df, capacity=2, driver_depth=4)
     assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(ROWS)
 
 
+def test_colliding_texts_are_chained_and_told_apart_by_bytes(spark):
+    rows = [*ROWS, *((100 + i, f"text {i % 40}") for i in range(200))]
+    df = spark.createDataFrame([(i, t, "x", 7, 3) for i, t in rows], SCHEMA)
+    for bits in (1, 3):
+        _, index, _ = build_index(df, key_bits=bits)
+        chains = [r.chain for r in index.collect()]
+        assert len(chains) <= 2**bits and max(map(len, chains)) > 4
+        assert all(len({e.body for e in c}) == len(c) for c in chains if len(c) > 1)
+        assert sorted((tuple(r) for r in exact_dedup(df, key_bits=bits).collect()), key=repr) == brute(rows)
+
+
+def test_overfull_buckets_split_beyond_the_driver_s_depth(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) h").cache()
+    depth = {r.prefix: r.depth for r in directory(keys, 10, 3).collect()}
+    assert len(depth) == 8 and min(depth.values()) > 3
+    sizes = Counter((depth[h >> 61], h >> (64 - depth[h >> 61])) for h in ((r.h % 2**64) for r in keys.collect()))
+    assert max(sizes.values()) <= 10
+    rows = [(i, f"text {i // 2}") for i in range(2000)]
+    df = spark.createDataFrame([(i, t, "", 0, 0) for i, t in rows], SCHEMA)
+    _, index, _ = build_index(df, capacity=3, driver_depth=2)
+    assert max(r["count"] for r in index.groupBy("bucket").count().collect()) <= 3
+    assert sorted((tuple(r) for r in exact_dedup(df, capacity=3, driver_depth=2).collect()), key=repr) == brute(rows)
+
+
 def test_hot_group_and_empty_table(spark):
     rows = [(i, "same text" if i % 3 == 0 else f"text {i}") for i in range(600)]
     got = exact_dedup(spark.createDataFrame([(i, t, "", 0, 0) for i, t in rows], SCHEMA), capacity=10)
