@@ -4,10 +4,12 @@ Targets: sources share a budget of words by weight. No target may exceed
 ``max_repeats`` times its source's size; what that cuts off is shared again
 among the rest by weight until no target is above its limit.
 
-Copies: a document is expected to be used e = target / source size times (more
-generally in proportion to its own ``weight_col``). It gets floor(e) certain
-whole copies, and one more with inclusion probability p = e - floor(e). The
-extra copies of a source are a fixed-size sample in Pareto order: documents
+Copies: inside a source a document is expected to be used e = min(c * weight,
+max_repeats) times, with the c that fills the target: where documents of great weight are at
+their limit, the others share the rest. The weight is a column, or goes by
+the number of words (``by_words``), so that longer documents are preferred. A document gets floor(e) certain
+whole copies, and one more with inclusion probability p = e - floor(e), which differs between
+documents. The extra copies of a source are a fixed-size sample in Pareto order: documents
 are ranked by Q = (u / (1 - u)) / (p / (1 - p)), the odds of a uniform number
 by the odds of inclusion, and the smallest are taken until the words that the
 certain copies leave open are used up. The document at the border is taken if
@@ -17,14 +19,15 @@ id and the text, so that reruns and retries agree.
 Scale: no source is ever sorted as a whole. Ranks are counted in 4096 bins of
 Q / (1 + Q) per source, and again in 4096 bins inside the bin where the words
 run out; only documents of that one fine bin are ordered. Shuffles before
-that carry one row per task, source and bin. The table of sources (one row
-each) is ordered in one task to deal out the repeating weights.
+that carry one row per task, source and bin. Sources are numbered by range, so that a
+table with a source per host is no single task's affair. Weights are rounded to
+eighths of a power of two inside 2**-16 and 2**16, so that c takes at most 257 rows per source.
 
 Edges: a null text has size 0 and takes 0 words. A null source is a source of
 its own and comes last. Documents without words neither use nor change a
 target. Rows that repeat id and text share one rank, so that their source is
 filled to the border row by row in any order of equals; which of them is taken
-does not alter the result. An empty table gives an empty result. Columns
+does not alter the result. A weight that is null or not positive gives no copies. An empty table gives an empty result. Columns
 besides id, text, source and weight are left out.
 """
 
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import common
 
 BINS = 4096
+#: Weight of documents with at least so many words; powers of two, which rounding leaves alone.
+BY_WORDS = ((0, 1.0), (50, 2.0), (500, 4.0))
 
 
 def word_count(text: str) -> Column:
@@ -43,6 +48,22 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with the place of each source in code point order, null last: ranges are sorted apart and their offsets added."""
+    order = F.col("source").asc_nulls_last()
+    spot = F.monotonically_increasing_id()  # the partition above 33 bits, the row in it below
+    dealt = common.stored(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("spot", spot), "ordered")
+    part = F.shiftright("spot", 33)
+    counts = sorted((r["part"], r["n"]) for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    offsets, before = [], 0
+    for k, n in counts:
+        offsets.append((k, before))
+        before += n
+    table = sizes.sparkSession.createDataFrame(offsets, "part long, before long")
+    place = F.col("before") + F.col("spot").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(table), part == F.col("part")).withColumn("place", place).drop("spot", "part", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
     """source, source_size, target from (source, source_size): weights repeat in code point order, null last.
 
@@ -50,10 +71,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     limit; a round that fixes none is the last. There are at most as many rounds
     as sources, in practice a few, and each moves one row to the driver.
     """
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     now = common.stored(
-        sizes.select("source", "source_size", pick.alias("weight"), (F.col("source_size") * max_repeats).alias("limit")), "sources"
+        numbered(sizes).select("source", "source_size", pick.alias("weight"), (F.col("source_size") * max_repeats).alias("limit")), "sources"
     )
     budget = now.agg(F.sum("source_size")).first()[0] or 0
     budget = budget * share
@@ -77,6 +97,18 @@ def _uniform(seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _own(weight_col: str | None, by_words: tuple[tuple[int, float], ...]) -> Column:
+    """A document's weight, rounded to eighths of a power of two; 0 if it has none."""
+    if weight_col is None:
+        weight = F.lit(float(by_words[0][1]))
+        for words, w in by_words[1:]:
+            weight = F.when(F.col("size") >= words, F.lit(float(w))).otherwise(weight)
+    else:
+        weight = F.col("own")
+    eighths = F.round(F.log2(F.greatest(F.lit(2.0**-16), F.least(weight, F.lit(2.0**16)))) * 8)
+    return F.when(weight > 0, F.pow(F.lit(2.0), eighths / 8)).otherwise(0.0)
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -87,34 +119,36 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     weight_col: str | None = None,
+    by_words: tuple[tuple[int, float], ...] = BY_WORDS,
     with_hash: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, source.
 
-    ``weight_col`` (positive) makes inclusion unequal inside a source: a
-    document is expected target * weight / sum(size * weight) times, cut at
-    max_repeats.
+    ``weight_col`` takes the place of ``by_words``: (words at least, weight), from 0 upwards.
     """
-    own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    raw = F.col(weight_col).cast("double") if weight_col else F.lit(None).cast("double")
     sized = common.stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.coalesce(own, F.lit(0.0)).alias("own")
-        ).select("doc_id", "source", word_count("text").alias("size"), _uniform(seed).alias("u"), "own", F.xxhash64("text").alias("text_h")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), raw.alias("own")).select(
+            "doc_id", "source", word_count("text").alias("size"), _uniform(seed).alias("u"), "own", F.xxhash64("text").alias("text_h")
+        ),
         "sized",
     )
-    per = common.stored(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("own")).alias("mass")), "masses"
-    )
-    goal = targets(per.select("source", "source_size"), weights, share, max_repeats)
+    source_key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
+    per = common.stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     # the key of a source is its place in a small table: joins on it need no text and no null
-    goal = common.stored(
-        goal.join(per.select(F.col("source").alias("s"), "mass"), F.col("source").eqNullSafe(F.col("s"))).select(
-            F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("key"), "source_size", "target", "mass"
-        ),
-        "targets",
-    )
-    expected = F.when(F.col("mass") > 0, F.least(F.col("target") * F.col("own") / F.col("mass"), F.lit(float(max_repeats)))).otherwise(0.0)
-    keyed = sized.withColumn("key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
+    goal = common.stored(targets(per, weights, share, max_repeats).select(source_key.alias("key"), "source_size", "target"), "targets")
+    keyed = sized.withColumn("key", source_key).withColumn("own", _own(weight_col, by_words))
+    # c: the target less what full weights take, over the mass of the others
+    levels = keyed.where("size > 0 and own > 0").groupBy("key", "own").agg(F.sum("size").alias("words")).join(goal, "key")
+    above = Window.partitionBy("key").orderBy(F.col("own").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("key").orderBy(F.col("own").desc()).rowsBetween(0, Window.unboundedFollowing)
+    free = F.col("target") - max_repeats * F.coalesce(F.sum("words").over(above), F.lit(0))
+    level = (free / F.sum(F.col("own") * F.col("words")).over(below)).alias("c")
+    levels = levels.select("key", "own", level)
+    fits = F.when(F.col("own") * F.col("c") <= max_repeats, F.struct(-F.col("own"), "c"))
+    scale = common.stored(levels.groupBy("key").agg(F.coalesce(F.min(fits)["c"], F.lit(1e300)).alias("c")), "scale")
+    goal = common.stored(goal.join(scale, "key", "left"), "goal")
+    expected = F.when(F.col("c").isNotNull(), F.least(F.col("c") * F.col("own"), F.lit(float(max_repeats)))).otherwise(0.0)
     ranked = (
         keyed.join(goal, "key")
         .withColumn("e", expected)
@@ -224,9 +258,17 @@ f as (
   from w),
 l as (select coalesce(arg_min(lev, m) filter (w * lev <= lim), 1e300) lev from f),
 t as (select f.source, f.s, least(f.w * l.lev, f.lim) target from f, l),
-e as (
-  select d.*, t.s, t.target, case when t.s > 0 then least(t.target * 1.0 / t.s, 2.0) else 0.0 end e
+o as (
+  select d.*, t.s, t.target, case when size >= 500 then 4.0 when size >= 50 then 2.0 else 1.0 end::double own
   from d join t on d.source is not distinct from t.source),
+lv as (select source, own, sum(size)::double words, any_value(target) target from o where size > 0 group by source, own),
+lf as (
+  select source, own, (target - 2.0 * coalesce(sum(words) over (partition by source order by own desc rows between unbounded preceding and 1 preceding), 0))
+    / sum(own * words) over (partition by source order by own desc rows between current row and unbounded following) c from lv),
+lc as (select source, coalesce(arg_max(c, own) filter (own * c <= 2.0), 1e300) c from lf group by source),
+e as (
+  select o.*, case when lc.c is null then 0.0 else least(lc.c * o.own, 2.0) end e
+  from o left join lc on o.source is not distinct from lc.source),
 p as (select *, floor(e + 1e-12) sure, greatest(e - floor(e + 1e-12), 0.0) p from e),
 q as (
   select *, (u / (1 - u)) / (p / (1 - p)) q, p > 1e-12 and size > 0 draws from p),
