@@ -7,16 +7,19 @@ forward algorithm computes; a text's score is the sum of its words' logarithms.
 Piece probabilities are learned by expectation maximisation with the matching
 forward-backward counts.
 
-Training reads a bounded sample: per language at most ``sample_docs`` labelled
-rows, those with the smallest hash of their id, out of rows of at most
-``sample_chars`` characters; only this sample's word counts reach the driver.
+Training reads a bounded sample, in one pass over the texts: per language at most ``sample_docs`` labelled
+rows, those with the smallest hash of their id, and of each the first
+``sample_chars`` characters; only this sample's word counts reach the driver. There runs of
+more than LONGEST letters are counted in stretches.
 Prediction reads every text whole. Words are lower-cased runs of letters; each
 distinct word is scored once per task in a bounded cache, many words at a time:
-step j of the recursion handles position j of all words and one piece length.
+step j of the recursion handles position j of all words and one piece length. Longer runs,
+as scripts without spaces have, are not kept: they are scored in windows that carry
+the forward values of the last positions and a scale, so that every segmentation of the whole run counts.
 
 The prediction never sees lang, source or doc_id. ``score`` is the share of the
 best language in the posterior over all languages when the log likelihood is
-taken per word and tempered by ``sharpness``; it lies between 0 and 1.
+taken per word (per LONGEST letters of a longer run) and tempered by ``sharpness``; it lies between 0 and 1.
 
 Edges: a null text, or one without letters, is ``und`` with score 0. Ties go to
 the language that sorts first. Texts in no learned language still get the nearest
@@ -34,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import common, sentencepiece_codec
@@ -42,8 +45,8 @@ from newsloom.llm import common, sentencepiece_codec
 LETTERS = regex.compile(r"\p{L}+")
 UND = "und"
 CACHE_WORDS = 300_000
-#: Longer words are scored in stretches of this many letters.
-LONGEST = 40
+#: Longer words are scored in windows of WINDOW letters.
+LONGEST, WINDOW = 40, 32
 
 
 def vocabulary(path: str) -> list[str]:
@@ -141,12 +144,13 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, prob:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Marked lower-case words of a text, long ones in stretches."""
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
-        w = "^" + w
-        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+    """Marked lower-case words of a text."""
+    return ["^" + w for w in LETTERS.findall((text or "").lower())]
+
+
+def stretches(words: list[str]) -> list[str]:
+    """The words, long ones cut."""
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
 class Model:
@@ -183,6 +187,35 @@ class Model:
             out[some] = np.log(np.maximum(alpha[np.arange(len(sizes)), sizes], 1e-300))
         return out
 
+    def long_log_probs(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word of any length, by windows that all words go through together."""
+        keep = self.pieces.longest
+        out = np.zeros((len(words), len(self.languages)))
+        tail = np.zeros((len(words), keep, len(self.languages)))  # forward values of the last positions, over their largest
+        tail[:, -1] = 1.0
+        scale = np.zeros_like(out)
+        alive = np.arange(len(words))
+        at = 0
+        while len(alive):
+            before = min(at, keep - 1)  # letters that a piece may reach back over
+            sizes, arcs = self.pieces.lattice([words[i][at - before : at + WINDOW] for i in alive])
+            alpha = np.zeros((len(alive), int(sizes.max()) + 1, len(self.languages)))
+            alpha[:, : before + 1] = tail[alive, keep - 1 - before :]
+            for (end, n), (rows, ids) in arcs.items():
+                if end > before:
+                    alpha[rows, end] += alpha[rows, end - n] * self.prob[ids]
+            ends = np.array([len(words[i]) <= at + WINDOW for i in alive])
+            done = np.flatnonzero(ends)
+            out[alive[done]] = np.log(np.maximum(alpha[done, sizes[done]], 1e-300)) + scale[alive[done]]
+            alive, alpha = alive[~ends], alpha[~ends]
+            last = alpha[:, -keep:]
+            most = np.maximum(last.max(axis=1), 1e-300)
+            tail[alive, keep - last.shape[1] :] = last / most[:, None]
+            tail[alive, : keep - last.shape[1]] = 0.0
+            scale[alive] += np.log(most)
+            at += WINDOW
+        return out
+
     def decide(self, total: np.ndarray, n_words: int) -> tuple[str, float]:
         """The best language of summed log probabilities and its share of the posterior."""
         if not n_words or not self.languages:
@@ -199,18 +232,30 @@ def held_out_flag(id_col: Column) -> Column:
 
 
 def sample_counts(train: DataFrame, sample_docs: int, sample_chars: int) -> dict[str, Counter]:
-    """Word counts of at most ``sample_docs`` rows per language of (doc_id, text, lang)."""
-    small = train.where(F.char_length("text") <= sample_chars)
-    # few labels: the set of languages, not of rows
-    sizes = {r["lang"]: r["n"] for r in small.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    out = {}
-    for lang, n in sorted(sizes.items()):
-        # a hash bound leaves about twice the rows wanted, the smallest of which are taken
-        bound = int(min(1.0, 2.0 * sample_docs / n + 50 / n) * 2**31)
-        rank = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(2**31))
-        rows = small.where(F.col("lang") == lang).withColumn("rank", rank).where(F.col("rank") <= bound)
-        texts = rows.orderBy("rank", "doc_id", F.md5("text")).limit(sample_docs).select("text").collect()
-        out[lang] = Counter(w for r in texts for w in words_of(r["text"]))
+    """Word counts of at most ``sample_docs`` rows per language of (doc_id, text, lang), of ``sample_chars`` characters each."""
+    # few labels: the set of languages, not of rows; texts are not read for this
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # a hash bound leaves about twice the rows wanted, the smallest of which are taken
+    bounds = [(lang, int(min(1.0, 2.0 * sample_docs / n + 50 / n) * 2**31)) for lang, n in sizes.items()]
+    table = train.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(2**31))
+    near = train.join(F.broadcast(table), "lang").withColumn("rank", rank).where("rank <= bound and text is not null")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id", F.md5("text")))
+    sample = near.withColumn("place", place).where(F.col("place") <= sample_docs).select("lang", F.substring("text", 1, sample_chars).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found.update((lang, w) for w in stretches(words_of(text)))
+        if found:
+            columns = [[k[0] for k in found], [k[1] for k in found], [*found.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+
+    out = {lang: Counter() for lang in sorted(sizes)}
+    # the words of a bounded sample
+    for r in sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        out[r["lang"]][r["word"]] = r["n"]
     return out
 
 
@@ -218,7 +263,7 @@ def fit_documents(
     docs: DataFrame, vocabulary_path: str, sample_docs: int = 250, sample_chars: int = 8_000, sharpness: float = 1.0
 ) -> Model:
     """Learn from the labelled rows of (doc_id, text, lang) outside the held-out fold."""
-    train = docs.where(~held_out_flag(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = docs.where(~held_out_flag(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     return Model.fit(sample_counts(train.select("doc_id", "text", "lang"), sample_docs, sample_chars), vocabulary(vocabulary_path), sharpness=sharpness)
 
 
@@ -232,17 +277,26 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         cut = [words_of(t) for t in texts]
-        missing = list({w for t in cut for w in t if w not in self.place})
+        short = [[w for w in t if len(w) <= LONGEST] for t in cut]
+        missing = list({w for t in short for w in t if w not in self.place})
         if len(self.place) + len(missing) > len(self.table):
             self.place.clear()
-            missing = list({w for t in cut for w in t})
+            missing = list({w for t in short for w in t})
             if len(missing) > len(self.table):
                 self.table = np.empty((len(missing), self.table.shape[1]))
         if missing:
             begin = len(self.place)
             self.table[begin : begin + len(missing)] = self.model.log_probs(missing)
             self.place.update(zip(missing, range(begin, begin + len(missing)), strict=True))
-        return [self.model.decide(self.table[[self.place[w] for w in t]].sum(axis=0) if t else self.table[:0].sum(axis=0), len(t)) for t in cut]
+        total = np.array([self.table[[self.place[w] for w in t]].sum(axis=0) for t in short]).reshape(len(texts), self.table.shape[1])
+        counts = np.array([len(t) for t in short], np.int64)
+        longer = [(k, w) for k, t in enumerate(cut) for w in t if len(w) > LONGEST]
+        if longer and self.model.languages:
+            at = np.array([k for k, _ in longer])
+            np.add.at(total, at, self.model.long_log_probs([w for _, w in longer]))
+        for k, w in longer:
+            counts[k] += -(-len(w) // LONGEST)
+        return [self.model.decide(t, n) for t, n in zip(total, counts.tolist(), strict=True)]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

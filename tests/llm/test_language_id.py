@@ -1,5 +1,7 @@
 import math
+import random
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +37,41 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(row[k], math.log(brute(w, table)), rel_tol=1e-9)
 
 
+def forward_log(word, table):
+    """Log of the mass of all segmentations of a word of any length, position by position, in decimal numbers."""
+    mass = [Decimal(1)]
+    for end in range(1, len(word) + 1):
+        mass.append(sum((mass[end - n] * Decimal(p) for n in range(1, min(end, 8) + 1) if (p := table.get(word[end - n : end], table["?"] if n == 1 else 0.0))), Decimal(0)))
+    return float(mass[-1].ln())
+
+
+def test_long_runs_are_summed_across_windows():
+    m = model()
+    rng = random.Random(4)
+    words = ["^" + "".join(rng.choice("abcz") for _ in range(n)) for n in (41, 42, 63, 64, 65, 95, 96, 97, 300, 5000)]
+    got = m.long_log_probs(words)
+    for k in range(2):
+        table = dict(zip(m.pieces.pieces, m.prob[:, k])) | {"?": m.prob[-1, k]}
+        for w, row in zip(words, got):
+            assert math.isclose(row[k], forward_log(w, table), rel_tol=1e-9)
+    short = ["^ab", "^ababa", "^" + "ab" * 15]
+    assert np.allclose(m.long_log_probs(short), m.log_probs(short), rtol=1e-12)
+    # a text's score adds up its short and long words
+    score = li.Scorer(m.languages, m.pieces.pieces, m.prob, 1.0)
+    text = "ab abab " + words[-2][1:]
+    total = m.log_probs(["^ab", "^abab"]).sum(axis=0) + m.long_log_probs([words[-2]])[0]
+    assert score([text, None]) == [m.decide(total, 2 + -(-len(words[-2]) // li.LONGEST)), ("und", 0.0)]
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(i, "the cat sat on the mat " * 3, "en") for i in range(40)] + [(100 + i, "der hund liegt auf dem sofa " * 900, "de") for i in range(8)] + [(200, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = li.fit_documents(df, PATH)
+    assert m.languages == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in li.predict(df, m).collect()}
+    assert {got[i] for i in range(40)} == {"en"} and {got[100 + i] for i in range(8)} == {"de"} and got[200] == "und"
+
+
 def test_expected_counts_use_every_character():
     m = model()
     counts, _ = li.expected_counts(["^ababa", "^zab"], np.array([[1.0, 2.0], [3.0, 0.0]]), m.pieces, m.prob)
