@@ -37,7 +37,8 @@ from newsloom.llm import common
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 400_000
+#: Words that a task remembers: about so many bytes with what Python adds to each, and words no longer than so many characters.
+CACHE_BYTES, WORD_BYTES, CACHED_WORD = 128_000_000, 300, 64
 #: Characters that are encoded together at most, unless one word alone is longer.
 CHUNK_CHARS = 1_000_000
 
@@ -291,21 +292,24 @@ def load(path: str) -> Model:
 
 
 class Codec:
-    """Texts to ids and back with a bounded cache of words."""
+    """Texts to ids and back with a cache of words that is bounded by bytes; long words are kept for one batch."""
 
     def __init__(self, model: Model):
         self.model = model
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.passing: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
         self.names = [str(i) for i in range(len(model.pieces))]
         self.texts = [p.replace(MARK, " ") for p in model.pieces]
         self.plain = frozenset(i for i, k in enumerate(model.kinds) if k == NORMAL)
 
     def look_up(self, words: set[str]) -> None:
         """Encode the words that the cache lacks, in chunks of bounded size."""
-        missing = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-            missing = list(words)
+            self.held = 0
+        self.passing = {}
+        missing = [w for w in words if w not in self.cache]
         at = 0
         while at < len(missing):
             end, chars = at, 0
@@ -321,7 +325,12 @@ class Codec:
                     surface = "".join([texts[i] for i in own])
                 else:
                     surface = self.surface(own)
-                self.cache[w] = (len(own), ",".join([names[i] for i in own]), surface)
+                found = (len(own), ",".join([names[i] for i in own]), surface)
+                if len(w) <= CACHED_WORD:
+                    self.cache[w] = found
+                    self.held += WORD_BYTES + len(w) + len(found[1]) + len(surface)
+                else:
+                    self.passing[w] = found
             at = end
 
     def surface(self, ids: list[int]) -> str:
@@ -336,7 +345,8 @@ class Codec:
 
     def encoded(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, and the decoded text; the words must be cached."""
-        found = list(map(self.cache.__getitem__, self.model.split(text)))
+        cache, passing = self.cache, self.passing
+        found = [cache.get(w) or passing[w] for w in self.model.split(text)]
         decoded = "".join([f[2] for f in found])
         if self.model.add_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
