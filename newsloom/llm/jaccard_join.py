@@ -72,8 +72,8 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 PARTS = 64
 BINS = 32
 PER_BAND = 2
-#: Nodes that a task remembers; bytes of words whose hashes it does, and the longest of these.
-NODE_CACHE, CACHE_BYTES, CACHED_WORD = 400_000, 24 << 20, 64
+#: Nodes that a task remembers; about how many bytes of words, with what Python adds to each, and the longest of these.
+NODE_CACHE, CACHE_BYTES, WORD_BYTES, CACHED_WORD = 400_000, 64_000_000, 150, 64
 #: Rows of an index list that are compared with as many others in one step.
 BLOCK = 256
 #: Size classes of cells: so many to a factor of 1.25. Position classes: so many to the whole set.
@@ -91,10 +91,10 @@ class Hasher(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= CACHED_WORD:
-            self.held += len(word)
+            self.held += WORD_BYTES + len(word)
             if self.held > CACHE_BYTES:
                 self.clear()
-                self.held = len(word)
+                self.held = WORD_BYTES + len(word)
             self[word] = value
         return value
 
