@@ -22,11 +22,11 @@ candidates; relations between sets let most of it be skipped:
   repeat known answers. Per element the smallest and largest component are
   aggregated, pre-combined in each task; equal ends skip the list whole.
 * *Skipped blocks.* A list of more than BLOCK sets is ordered into cells by set size and
-  by the element's position in the set; a cell has blocks of about BLOCK sets. Of
-  each cell only its bounds are known: least and largest size, most elements from
-  the position on, least and largest component. Two cells whose bounds admit no link,
-  or that lie in one component, are skipped with all pairs of their blocks
-  before any set is looked at (``cell_pairs``).
+  by the element's position in the set; neighbouring cells make up blocks of about BLOCK
+  sets, and large cells several. Of each only bounds are known: least and largest size, most elements from
+  the position on, least and largest component. Blocks whose bounds admit no link,
+  or that lie in one component, are skipped with all their pairs
+  before any set is looked at (``run_pairs``).
 * *Skipped pairs.* In the block pairs that remain, pairs of one component, pairs whose sizes
   cannot reach the threshold, and pairs that share an element at positions i and
   j with min(|A| - i, |B| - j) below the overlap needed are skipped.
@@ -55,25 +55,26 @@ empty table gives an empty result. Columns besides id and text are left out.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import common
 
 #: Element counters and bits of tables, by the size of the data, at most so many.
-LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 22
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Pieces in which such tables are put together.
 PARTS = 64
 BINS = 32
 PER_BAND = 2
 #: Nodes that a task remembers; about how many bytes of words, with what Python adds to each, and the longest of these.
-NODE_CACHE, CACHE_BYTES, WORD_BYTES, CACHED_WORD = 400_000, 64_000_000, 150, 64
+NODE_CACHE, CACHE_BYTES, WORD_BYTES, CACHED_WORD = 400_000, 32_000_000, 150, 64
 #: Rows of an index list that are compared with as many others in one step.
 BLOCK = 256
 #: Size classes of cells: so many to a factor of 1.25. Position classes: so many to the whole set.
@@ -154,23 +155,33 @@ def prefix_size(n: int, percent: int) -> int:
 # ---------------------------------------------------------------- tables of fixed size
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Small counts or bits, compressed."""
+    return zlib.compress((values.astype(np.uint8) if values.max(initial=0) < 256 else values).tobytes(), 1)
+
+
+def unpacked(piece: bytes, size: int, kind: type) -> np.ndarray:
+    raw = zlib.decompress(piece)
+    return np.frombuffer(raw, np.uint8 if len(raw) == size else kind).astype(kind)
+
+
 def joined(pieces: DataFrame, size: int, kind: type, join: Callable) -> np.ndarray:
     """One array of ``size`` items from (part, piece): pieces of a part are joined in its task."""
+    step = size // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.frombuffer(value.as_buffer(), kind)
-                total[part] = join(total[part], one) if part in total else one.copy()
+                one = unpacked(value.as_buffer(), step, kind)
+                total[part] = join(total[part], one) if part in total else one
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["part", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([packed(t) for t in total.values()], pa.binary())], ["part", "piece"])
 
     out = np.zeros(size, kind)
-    step = size // PARTS
-    # PARTS rows, or one more for each part that two tasks had: the size is fixed
+    # PARTS rows, or one more for each part that two tasks had: the size is bounded
     for part, piece in pieces.select("part", "piece").repartition(PARTS, "part").mapInArrow(run, "part int, piece binary").collect():
-        out[part * step : (part + 1) * step] = np.frombuffer(piece, kind)
+        out[part * step : (part + 1) * step] = unpacked(piece, step, kind)
     return out
 
 
@@ -179,13 +190,13 @@ def power_of_two(least: int, wanted: int, most: int) -> int:
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
-    """A table of bits, 16 a key or MOST_BITS in all, in which the bit of every long in a column of a stored table is set."""
-    bits = power_of_two(LEAST_BITS, 16 * keys.count(), MOST_BITS)
+    """A table of bits, 32 a key or MOST_BITS in all, in which two bits of every long in a column of a stored table are set."""
+    bits = power_of_two(LEAST_BITS, 32 * keys.count(), MOST_BITS)
     width = bits // PARTS
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            at = np.unique(np.concatenate(_slots(batch.column(0).to_numpy(zero_copy_only=False), bits)))
             yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], ["part", "slot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,20 +206,22 @@ def bit_table(keys: DataFrame) -> np.ndarray:
             for p in np.unique(part).tolist():
                 flags.setdefault(p, np.zeros(width, np.uint8))[slot[part == p]] = 1
         for p, f in flags.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(f).tobytes()], pa.binary())], ["part", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed(np.packbits(f))], pa.binary())], ["part", "piece"])
 
     dealt = keys.mapInArrow(slots, "part int, slot int").distinct().repartition(PARTS, "part")
     return joined(dealt.mapInArrow(run, "part int, piece binary"), bits // 8, np.uint8, np.bitwise_or)
 
 
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    x = keys.astype(np.int64).view(np.uint64) * MIX[2]
-    return ((x >> np.uint64(33)) & np.uint64(bits - 1)).astype(np.int64)
+def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = keys.astype(np.int64).view(np.uint64)
+    return tuple(((x * m >> np.uint64(33)) & np.uint64(bits - 1)).astype(np.int64) for m in MIX[2:4])
 
 
 def has(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _slot(keys, 8 * len(table))
-    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    found = np.ones(len(keys), bool)
+    for at in _slots(keys, 8 * len(table)):
+        found &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return found
 
 
 # ---------------------------------------------------------------- passes over texts
@@ -218,7 +231,7 @@ def describe(docs: DataFrame, n: int, counters: int) -> DataFrame:
     """doc_id, text_h, node, size of each row; bands and bits once per task and node; at a task's end its element counts in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, counts = Hasher(), set(), np.zeros(counters, np.int64)
+        hashes, seen, counts = Hasher(), set(), np.zeros(counters, np.int32)
         names = ["doc_id", "text_h", "node", "size", "bands", "bits", "part", "piece"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
         for whole in batches:
@@ -232,21 +245,23 @@ def describe(docs: DataFrame, n: int, counters: int) -> DataFrame:
                         seen.add(node)
                     slots.append(s)
                     rows.append((i, h, node, len(s), band_keys(s) if new else None, parity(s) if new else None, None, None))
-                counts += np.bincount((np.concatenate(slots) & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+                np.add.at(counts, (np.concatenate(slots) & np.uint64(counters - 1)).astype(np.int64), 1)
                 if len(seen) > NODE_CACHE:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         if counts.any():
-            pieces = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(PARTS, -1)
-            columns = [[None] * PARTS] * 6 + [list(range(PARTS)), [p.tobytes() for p in pieces]]
+            columns = [[None] * PARTS] * 6 + [list(range(PARTS)), [packed(p) for p in counts.reshape(PARTS, -1)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return docs.mapInArrow(run, "doc_id long, text_h long, node long, size long, bands array<long>, bits binary, part int, piece binary")
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """node, size and prefix elements, rarest first; once per task and node."""
-    shipped = docs.sparkSession.sparkContext.broadcast(counts)
+    """node, size and prefix elements, rarest first; once per task and node.
+
+    Counts are told apart by eighths of a power of two; elements alike in that go by hash.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(np.minimum(np.round(8 * np.log2(1.0 + counts)), 255).astype(np.uint8))  # MOST_COUNTERS bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, table = Hasher(), set(), shipped.value
@@ -380,6 +395,9 @@ def derived(pairs: DataFrame, deltas: DataFrame, docs: DataFrame, nodes: DataFra
 # ---------------------------------------------------------------- blocks of long lists
 
 
+CELL = ["element", "size_class", "position_class"]
+
+
 def cells_of(entries: DataFrame) -> DataFrame:
     """entries (element, node, component, position, size) with the cell each belongs to: classes of size and position."""
     size_class = F.floor(F.log("size") * F.lit(SIZE_STEPS / math.log(1.25))).cast("int")
@@ -387,31 +405,35 @@ def cells_of(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"size_class": size_class, "position_class": position_class})
 
 
-def cell_pairs(entries: DataFrame, percent: int, skip: bool = True) -> DataFrame:
-    """Per cell of the long lists, (element, size_class, position_class), its blocks and the cells with which it is compared.
+def runs_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, runs) of long lists: neighbouring cells, ordered by size and position, that have about BLOCK sets together.
 
-    Cells are taken together only if their size classes are so near that sets can link, and only if
-    no bound rules all their pairs out. Without ``skip`` that is every two cells of a list in reach.
+    cells: the run of each cell. runs: bounds of each run and how many blocks it has; more than one only if it is one
+    cell above BLOCK. A list has no more cells than there are classes, whatever its length.
     """
-    key = ["element", "size_class", "position_class"]
-    cells = common.stored(
-        cells_of(entries)
-        .groupBy(*key)
-        .agg(
-            F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
-            F.min("size").alias("least"),
-            F.max("size").alias("most"),
-            F.max(F.col("size") - F.col("position")).alias("room"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        ),
-        "cells",
+    counted = cells_of(entries).groupBy(*CELL).agg(
+        F.count("*").alias("n"),
+        F.min("size").alias("least"),
+        F.max("size").alias("most"),
+        F.max(F.col("size") - F.col("position")).alias("room"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
     )
-    # the larger of two linking sets is at most 100 / percent times the smaller
-    reach = math.ceil(SIZE_STEPS * math.log(100 / percent) / math.log(1.25)) + 1
-    near = F.explode(F.sequence(F.col("size_class") - reach, F.col("size_class") + reach)).alias("near")
-    mine = cells.select("*", near)
-    theirs = cells.select("element", F.col("size_class").alias("near"), *(F.col(c).alias("o_" + c) for c in ("position_class", "blocks", "least", "most", "room", "low", "high")))
+    before = F.sum("n").over(Window.partitionBy("element").orderBy("size_class", "position_class")) - F.col("n")
+    run = F.when(F.col("n") > BLOCK, 2 * F.col("before") + 1).otherwise(2 * BLOCK * F.floor(F.col("before") / BLOCK))
+    cells = common.stored(counted.withColumn("before", before).withColumn("run", run.cast("long")).drop("before"), "cells")
+    blocks = F.when(F.max("n") > BLOCK, F.ceil(F.max("n") / BLOCK)).otherwise(1).cast("int").alias("blocks")
+    bounds = [f(c).alias(c) for f, c in ((F.min, "least"), (F.max, "most"), (F.max, "room"), (F.min, "low"), (F.max, "high"))]
+    return cells.select(*CELL, "run"), common.stored(cells.groupBy("element", "run").agg(blocks, *bounds), "runs")
+
+
+def run_pairs(runs: DataFrame, percent: int, skip: bool = True) -> DataFrame:
+    """Per run of a long list (element, run) its blocks and the runs with which it is compared.
+
+    Two runs are left out, with all pairs of their blocks, if their bounds of size or position admit no link or
+    if both lie in one component. Without ``skip`` every two runs of a list are there.
+    """
+    others = runs.select("element", *(F.col(c).alias("o_" + c) for c in runs.columns if c != "element"))
     need = lambda a, b: F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
     small, large = F.least("most", "o_most"), F.greatest("least", "o_least")
     possible = (
@@ -419,34 +441,35 @@ def cell_pairs(entries: DataFrame, percent: int, skip: bool = True) -> DataFrame
         & (need(F.col("least"), F.col("o_least")) <= F.least("room", "o_room"))
         & ~((F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low")))
     )
-    both = mine.join(theirs, ["element", "near"])
+    both = runs.join(others, "element")
     both = both.where(possible) if skip else both
-    partner = F.struct(F.col("near").alias("size_class"), F.col("o_position_class").alias("position_class"), F.col("o_blocks").alias("blocks"))
-    # as many partners as there are size classes in reach and position classes
-    return common.stored(both.groupBy(*key).agg(F.first("blocks").alias("blocks"), F.collect_list(partner).alias("partners")), "partners")
-
+    partner = F.struct(F.col("o_run").alias("run"), F.col("o_blocks").alias("blocks"))
+    return common.stored(both.groupBy("element", "run").agg(F.first("blocks").alias("blocks"), F.collect_list(partner).alias("partners")), "partners")
 
-def _block_id(size_class: Column, position_class: Column, block: Column) -> Column:
-    return ((size_class.cast("long") * POSITION_STEPS + position_class) * (1 << 32)) + block
 
-
-def dealt_blocks(entries: DataFrame, partners: DataFrame) -> DataFrame:
+def dealt_blocks(entries: DataFrame, cells: DataFrame, partners: DataFrame) -> DataFrame:
     """Rows of long lists, one for each block pair that is not skipped: a and b are the blocks, block the row's own."""
-    rows = cells_of(entries).join(partners, ["element", "size_class", "position_class"])
-    own = _block_id(F.col("size_class"), F.col("position_class"), F.pmod(F.xxhash64("node"), F.col("blocks")))
+    compared = common.stored(cells.join(partners, ["element", "run"]), "compared")
+    rows = cells_of(entries).join(compared, CELL)
+    own = F.col("run") * (1 << 20) + F.pmod(F.xxhash64("node"), F.col("blocks"))
     rows = rows.withColumn("block", own).withColumn("partner", F.explode("partners"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("partner.blocks") - 1)))
-    other = _block_id(F.col("partner.size_class"), F.col("partner.position_class"), F.col("k"))
+    other = F.col("partner.run") * (1 << 20) + F.col("k")
     return rows.withColumn("a", F.least("block", other)).withColumn("b", F.greatest("block", other)).select(*entries.columns, "a", "b", "block")
 
 
+def long_list_rows(entries: DataFrame, percent: int, skip: bool = True) -> DataFrame:
+    cells, runs = runs_of(entries)
+    return dealt_blocks(entries, cells, run_pairs(runs, percent, skip))
+
+
 def _group_starts(g: dict[str, np.ndarray]) -> np.ndarray:
     key = [g[c] for c in ("element", "a", "b")]
     return np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1]
 
 
 def _pairs_of(g: dict[str, np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole groups that stay possible.
+    """Pairs of whole groups that stay possible, by their bits too where the rows have any.
 
     Small groups are paired all at once, a row with those 1, 2, … places after it;
     larger ones, which are blocks of bounded size, each as a matrix.
@@ -456,9 +479,9 @@ def _pairs_of(g: dict[str, np.ndarray], percent: int) -> Iterator[pa.RecordBatch
         return
     starts = _group_starts(g)
     sizes = np.diff(np.r_[starts, total])
-    width = np.fromiter(map(len, g["bits"]), np.int64, total)
+    width = np.fromiter(map(len, g["bits"]), np.int64, total) if "bits" in g else np.zeros(total, np.int64)
     place, tables = np.empty(total, np.int64), {}
-    for w in np.unique(width).tolist():
+    for w in np.unique(width[width > 0]).tolist():
         mine = np.flatnonzero(width == w)
         place[mine] = np.arange(len(mine))
         tables[w] = np.frombuffer(b"".join(g["bits"][mine]), np.uint8).reshape(len(mine), w)
@@ -469,6 +492,8 @@ def _pairs_of(g: dict[str, np.ndarray], percent: int) -> Iterator[pa.RecordBatch
         need = allowed(n[i] + n[j], percent)
         ok = (c[i] != c[j]) & (np.minimum(room[i], room[j]) >= need)
         i, j, need = i[ok], j[ok], need[ok]
+        if "bits" not in g:
+            return i, j
         keep = np.zeros(len(i), bool)
         both = np.minimum(width[i], width[j]) << 32 | np.maximum(width[i], width[j])
         for code in np.unique(both).tolist():
@@ -510,9 +535,10 @@ def _pairs_of(g: dict[str, np.ndarray], percent: int) -> Iterator[pa.RecordBatch
 def _list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the block pairs of index lists; see the module's text.
 
-    ``rows`` (element, a, b, block, node, size, component, position, bits) come together by
+    ``rows`` (element, a, b, block, node, size, component, position, maybe bits) are brought together by
     (element, a, b); block tells which of the two blocks a row is of.
     """
+    has_bits = "bits" in rows.columns
 
     names = ["element", "a", "b", "block", "node", "size", "component", "position"]
 
@@ -520,7 +546,8 @@ def _list_pairs(rows: DataFrame, percent: int) -> DataFrame:
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
             now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            now["bits"] = np.array([*batch.column("bits").to_pylist(), None], object)[:-1]
+            if has_bits:
+                now["bits"] = np.array([*batch.column("bits").to_pylist(), None], object)[:-1]
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in now}
             cut = _group_starts(now)[-1]  # the last group may go on
@@ -529,7 +556,8 @@ def _list_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from _pairs_of(held, percent)
 
-    return rows.mapInArrow(run, "x long, y long").distinct()
+    dealt = rows.repartition("element", "a", "b").sortWithinPartitions("element", "a", "b")
+    return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
 # ---------------------------------------------------------------- the join
@@ -556,7 +584,7 @@ def _links(docs: DataFrame, n: int, percent: int, skip: bool) -> tuple[DataFrame
     are left out. Without, every link, once.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = power_of_two(LEAST_COUNTERS, size // 512, MOST_COUNTERS)
+    counters = power_of_two(LEAST_COUNTERS, size // 128, MOST_COUNTERS)
     rows = common.stored(describe(docs, n, counters), "described")
     distinct = rows.where("bits is not null").select("node", "size", "bits", "bands")
     nodes = common.stored(
@@ -619,14 +647,12 @@ def _links(docs: DataFrame, n: int, percent: int, skip: bool) -> tuple[DataFrame
     entries = common.stored(entries.dropDuplicates(["element", "node"]), "entries")
     short = entries.where("not longer").drop("longer").select("*", *(F.lit(0).cast("long").alias(c) for c in ("a", "b", "block")))
     long_lists = entries.where("longer").drop("longer")
-    dealt = (
-        short.unionByName(dealt_blocks(long_lists, cell_pairs(long_lists, percent)))
-        .join(bits, "node")
-        .select("element", "a", "b", "block", "node", "size", "component", "position", "bits")
-        .repartition("element", "a", "b")
-        .sortWithinPartitions("element", "a", "b")
-    )
-    second = derived(common.stored(_list_pairs(dealt, percent), "candidates"), deltas, docs, nodes, n, percent)
+    # blocks of long lists bring their bits along, so that no pair leaves them that bits rule out; short lists have few pairs
+    columns = ["element", "a", "b", "block", "node", "size", "component", "position"]
+    few = common.stored(_list_pairs(short.select(*columns), percent), "few")
+    many = _list_pairs(long_list_rows(long_lists, percent).join(bits, "node").select(*columns, "bits"), percent)
+    pairs = common.stored(_close_pairs(beside(few), percent).unionByName(many).distinct(), "candidates")
+    second = derived(pairs, deltas, docs, nodes, n, percent)
     links = (first.select("x", "y").unionByName(second) if skip else second).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     return rows.where("piece is null"), nodes, links
 

@@ -107,23 +107,22 @@ def test_whole_blocks_are_skipped_and_no_possible_pair_is(spark, monkeypatch):
         rows.append((1, node, node // 3 if node < 300 else 1000, size, rng.randrange(jj.prefix_size(size, 80))))
     entries = spark.createDataFrame(rows, "element long, node long, component long, size long, position long").cache()
 
-    def block_pairs(partners):
-        dealt = jj.dealt_blocks(entries, partners).collect()
+    def block_pairs(skip):
+        dealt = jj.long_list_rows(entries, 80, skip).collect()
         blocks = {r.node: r.block for r in dealt}
         return {(r.a, r.b) for r in dealt}, blocks
 
-    kept, block = block_pairs(jj.cell_pairs(entries, 80))
-    near, _ = block_pairs(jj.cell_pairs(entries, 80, skip=False))
-    every = len({jj_block for jj_block in block.values()})
+    kept, _ = block_pairs(True)
+    every, block = block_pairs(False)
+    assert len(block) == len(rows) and kept < every
     possible = 0
     for (_, x, cx, nx, px), (_, y, cy, ny, py) in combinations(rows, 2):
         need = jj.allowed(np.array(nx + ny), 80)
         if cx != cy and min(nx, ny) >= need and min(nx - px, ny - py) >= need:
             possible += 1
             assert tuple(sorted((block[x], block[y]))) in kept
-    assert possible > 1000 and kept < near
-    skipped = 1 - len(kept) / (every * (every + 1) / 2)
-    assert skipped > 0.5, skipped
+    skipped = 1 - len(kept) / len(every)
+    assert possible > 1000 and skipped > 0.5, skipped
 
 
 def test_keep_one_each_tells_rows_apart_by_id_and_text(spark):
