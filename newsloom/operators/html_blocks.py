@@ -192,15 +192,17 @@ def text_of(runs: list[dict]) -> str:
 
 
 def looks_like_heading(text: str, runs: list[dict]) -> bool:
-    """Bold spans, each at its first place in the text, cover all of it but white space; a plain final dot disqualifies."""
-    spans = sorted((text.find(r["text"].strip()), len(r["text"].strip())) for r in runs if "bold" in (r["formats"] or []) and r["text"].strip())
-    at = 0
+    """Bold spans, each at its first place in the text, join without a gap and cover it; a final dot disqualifies, save after an ellipsis sign."""
+    bold = [w for r in runs if "bold" in (r["formats"] or []) and (w := (r["text"] or "").strip())]
+    spans = sorted((text.find(w), len(w)) for w in bold)
+    if not spans or spans[0][0] < 0 or text[: spans[0][0]].strip():
+        return False
+    reach = spans[0][0]
     for start, size in spans:
-        if start < 0 or text[at : max(start, at)].strip():
+        if start > reach:
             return False
-        at = max(at, start + size)
-    done = bool(spans) and not text[at:].strip()
-    return done and not (text.rstrip().endswith(".") and not text.rstrip().endswith(("...", "…")))
+        reach = max(reach, start + size)
+    return not text[reach:].strip() and (not text.endswith(".") or text.endswith("…."))
 
 
 @dataclass(frozen=True)

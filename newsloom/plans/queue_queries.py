@@ -171,7 +171,7 @@ def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t.read(spark, sf_dir, "events")
     changes = e.select(
         F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"),
-        F.when(F.col("value") <= 80, F.round("value").cast("int").cast("string")).alias("value"),
+        F.when(F.col("value") <= 80, F.bround("value").cast("int").cast("string")).alias("value"),
         F.col("event_id").alias("seq"),
     )
     return q.upsert_latest(spark.createDataFrame([], "key string, value string"), changes)

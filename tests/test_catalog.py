@@ -14,7 +14,7 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_query_runs(spark, name):
-    assert len(catalog.queries()[name](spark, SF).collect()) >= 0  # a count would prune the columns
+    assert catalog.queries()[name](spark, SF).collect()  # a count would prune the columns
 
 
 def test_entry(spark):
