@@ -274,3 +274,35 @@ def callback_action(payload: Column, user_id: Column, admins: list[int]) -> Colu
         .when((kind == "hold") & (action == "reject"), F.lit("retire"))
         .otherwise(F.lit("malformed"))
     )
+
+
+# ---------------------------------------------------------------- fetch failures
+
+
+def record_fetch_failures(failures: DataFrame, attempts: DataFrame) -> DataFrame:
+    """failures (link, attempts, first_failed_at, last_failed_at) after failed attempts (link, ts).
+
+    A link counts once per UTC day: an attempt adds one only if it falls on a later day than the last
+    failure before it. An attempt without time or link changes nothing.
+    """
+    rows = attempts.where("link is not null and ts is not null")
+    known = rows.join(failures.select("link", F.col("last_failed_at").alias("known")), "link", "left")
+    later = F.when(F.col("known").isNull() | (F.to_date("ts") > F.to_date("known")), F.to_date("ts"))
+    new = known.groupBy("link").agg(F.count_distinct(later).alias("days"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    both = failures.join(new, "link", "full_outer")
+    return both.select(
+        "link",
+        (F.coalesce("attempts", F.lit(0)) + F.coalesce("days", F.lit(0))).cast("int").alias("attempts"),
+        F.coalesce("first_failed_at", "low").alias("first_failed_at"),
+        F.greatest("last_failed_at", "high").alias("last_failed_at"),
+    )
+
+
+def clear_fetch_failures(failures: DataFrame, fetched: DataFrame) -> DataFrame:
+    """failures without the links (link) that were fetched; their streak begins anew."""
+    return failures.join(fetched.select("link").where("link is not null").distinct(), "link", "left_anti")
+
+
+def image_limits(articles: DataFrame, limits: DataFrame) -> DataFrame:
+    """articles with image_limit of their source from limits (source_name, image_limit); null is no limit."""
+    return articles.join(limits.select("source_name", "image_limit").dropDuplicates(["source_name"]), "source_name", "left")

@@ -149,13 +149,16 @@ def intake_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_name", "seen", "promo", "genre", "staged", "held_for_review", F.col("dropped").cast("long").alias("dropped"), "note")
 
 
-@query(f"""with {t.ARTICLES}, a as (select *, link * 7 % 50 l, link arrival from articles), k as (select * from a where contains(lower(title), 'the') and l % 5 <> 0 and l % 7 <> 0)
-select l link, min(arrival) arrival from k group by 1""")
+@query(f"""with {t.ARTICLES}, e as (select link, link arrival, title from articles union all select link, link + 1000000000, title from articles)
+select link, min(arrival) arrival from e where contains(lower(title), 'the') and link not in (select doc_id from labels where quality = 1)
+  and link not in (select doc_id from labels where toxic = 1) group by 1""")
 def new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = t.articles(spark, sf_dir).select((F.col("link") * 7 % 50).alias("link"), F.col("link").alias("arrival"), "title")
-    ids = spark.range(50).withColumnRenamed("id", "link")
+    # every article arrives twice; the labelled ones stand in the two ledgers
+    rows = t.articles(spark, sf_dir).select("link", F.col("link").alias("arrival"), "title")
+    entries = rows.unionByName(rows.withColumn("arrival", F.col("arrival") + 1_000_000_000))
+    labels = t.read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "link")
     keep = F.contains(F.lower("title"), F.lit("the"))
-    return i.new_entries(entries, ids.where("link % 5 = 0"), ids.where("link % 7 = 0"), keep).select("link", "arrival")
+    return i.new_entries(entries, labels.where("quality = 1").select("link"), labels.where("toxic = 1").select("link"), keep).select("link", "arrival")
 
 
 @query("""with c as (select conv_id, list(struct_pack(role := role, text := text) order by turn) b from conversations group by 1),

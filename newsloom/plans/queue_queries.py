@@ -105,12 +105,12 @@ def failed_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.orderBy(F.col("failed_at").desc(), "link").limit(3)
 
 
-@query(f"""with {t.PENDING}, p as (select * from pending where link % 2 = 0), n as (select * from pending where link % 3 = 0)
-select link, title, 'old' origin from p union all select link, title, 'new' from n where link not in (select link from p)""")
+@query(f"""with {t.PENDING}, p as (select * from pending where hold_reason is not null)
+select link, title, 'old' origin from p union all select link, title, 'new' from pending where link not in (select link from p)""")
 def insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.pending(spark, sf_dir)
-    target = rows.where("link % 2 = 0").select("link", "title", F.lit("old").alias("origin"))
-    return q.insert_missing(target, rows.where("link % 3 = 0").select("link", "title", F.lit("new").alias("origin")))
+    target = rows.where(q.held()).select("link", "title", F.lit("old").alias("origin"))
+    return q.insert_missing(target, rows.select("link", "title", F.lit("new").alias("origin")))
 
 
 @query(f"""with {t.PENDING}

@@ -240,3 +240,30 @@ def test_readers(spark, tmp_path):
     assert ledger.count() == 3
     with pytest.raises(Exception, match="already in the ledger"):
         q.append_ledger(df, df).collect()
+
+
+def test_bold_paragraphs_that_are_headings():
+    from newsloom.operators.html_blocks import looks_like_heading
+
+    bold = lambda *parts: [{"text": p, "href": None, "formats": ["bold"]} for p in parts]
+    assert looks_like_heading("A whole bold line", bold("A whole bold line"))
+    assert looks_like_heading("Twoparts", bold("Two", "parts"))
+    assert not looks_like_heading("Two parts", bold("Two", "parts"))  # the gap between them is prose
+    assert not looks_like_heading("And so on...", bold("And so on..."))
+    assert looks_like_heading("And so on….", bold("And so on….")) and looks_like_heading("And so on…", bold("And so on…"))
+    assert not looks_like_heading("A sentence.", bold("A sentence.")) and not looks_like_heading("Name or Name", bold("Name"))
+
+
+def test_fetch_failures_count_days(spark):
+    from newsloom.operators import queue as q
+
+    have = spark.createDataFrame([(1, 2, "2024-01-01 10:00:00", "2024-01-03 23:00:00"), (2, 1, "2024-01-01 00:00:00", "2024-01-01 00:00:00")], "link long, attempts int, a string, b string")
+    have = have.selectExpr("link", "attempts", "timestamp(a) first_failed_at", "timestamp(b) last_failed_at")
+    tries = [(1, "2024-01-03 23:30:00"), (1, "2024-01-04 00:10:00"), (1, "2024-01-04 09:00:00"), (3, "2024-01-05 01:00:00"), (None, "2024-01-05 01:00:00"), (3, None)]
+    got = q.record_fetch_failures(have, spark.createDataFrame(tries, "link long, ts string").selectExpr("link", "timestamp(ts) ts"))
+    assert sorted((r.link, r.attempts, str(r.first_failed_at), str(r.last_failed_at)) for r in got.collect()) == [
+        (1, 3, "2024-01-01 10:00:00", "2024-01-04 09:00:00"),
+        (2, 1, "2024-01-01 00:00:00", "2024-01-01 00:00:00"),
+        (3, 1, "2024-01-05 01:00:00", "2024-01-05 01:00:00"),
+    ]
+    assert sorted(r.link for r in q.clear_fetch_failures(got, spark.createDataFrame([(1,), (None,)], "link long")).collect()) == [2, 3]
