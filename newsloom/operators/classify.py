@@ -319,13 +319,25 @@ def gate(articles: DataFrame, promo: Promo = Promo(), subjects: Subjects = Subje
 
 # ---------------------------------------------------------------- plugs inside prose
 
-#: Sentences that advertise the author's own channels.
+#: Where a sentence begins and ends, and the sentences inside prose that only advertise or point elsewhere.
+_START, _END = r"(?iU)(?:(?<=[.!?])\s*|^)", r"[^.!?]*?(?:[.!?]+|$)\s*"
 PLUG_PATTERNS = [
-    rf"(?iU)\(\s*(?:follow|check|subscribe\s+to|join)\s+(?:me|us)\s+on\s+(?:{_PLATFORMS})\s+@\w{{2,30}}\s*\)",
-    rf"(?iU)\b(?:follow|check|subscribe\s+to)\s+(?:me|us)\s+on\s+(?:{_PLATFORMS})(?:\s+@\w{{2,30}})?[.!]?",
-    r"(?iU)\bsubscribe\s+to\s+my\s+(?:channel|newsletter|patreon|youtube|page|feed)\b[.!]?",
+    rf"{_START}\*{{0,2}}(?:нажми(?:те)?|кликни(?:те)?|жми(?:те)?)\s*\*{{0,2}}\s*(?:сюда|здесь|по\s+ссылке){_END}",
+    rf"{_START}[^.!?]{{0,120}}?(?:посмотр|увид|прочит|показыва|публикова|постил)[^.!?]{{0,120}}?по\s+\*{{0,2}}(?:этой\s+)?ссылке\*{{0,2}}{_END}",
+    rf"{_START}[^.!?]{{0,120}}?(?:в|на)\s+\*{{0,2}}(?:видео|фото|картинке|изображении)\*{{0,2}}\s+(?:ниже|выше){_END}",
+    rf"{_START}[^.!?]{{0,120}}?(?:рекомендуем|советуем|recomendamos|sugerimos|indicamos|we\s+recommend)(?:[^.]|\.(?=\S)){{0,120}}?(?<![\w-])(?:{_PLATFORMS})\.com/\S*\s*",
+    rf"(?iU)\s*\(\s*[^()]*?(?:{_PLATFORMS})\s*@\w{{2,30}}[^()]*?\)\s*",
+    rf"{_START}[^.!?]*?(?:подпиш[иу]тесь|подпис[ыа]вайтесь|подписаться|следите\s+за\s+(?:нами|мной)|(?:мой|наш|моего|нашего)\s+(?:{_PLATFORMS}))"
+    rf"[^.!?]*?(?:на\s+(?:меня|нас)|за\s+(?:нами|мной)|(?:{_PLATFORMS})){_END}",
+    rf"{_START}[^.!?]*?(?:follow|check|subscribe\s+to)\s+(?:me|us)\s+on\s+(?:{_PLATFORMS}){_END}",
 ]
 
 
 def without_plugs(column: Column, patterns: list[str] = PLUG_PATTERNS) -> Column:
     return x.stripped(column, patterns)
+
+
+def blocks_without_plugs(blocks: Column, patterns: list[str] = PLUG_PATTERNS) -> Column:
+    """Blocks (with fields type, text, caption) without plugs; prose blocks that are left empty go, others stay."""
+    clean = F.transform(blocks, lambda b: b.withField("text", without_plugs(b["text"], patterns)).withField("caption", without_plugs(b["caption"], patterns)))
+    return F.filter(clean, lambda b: ~F.coalesce(b["type"].isin("paragraph", "lead", "heading") & (b["text"] == ""), F.lit(False)))

@@ -7,12 +7,17 @@ compared that shares neither a pair key nor a model phrase.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import temporal
 from newsloom.operators import entities as e
 
+Seen = Callable[[DataFrame], DataFrame]
+
 
 def candidate_set(pending: DataFrame, published: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Recent pending rows, then recent published ones, in one numbered order: branch, time, link."""
@@ -96,10 +101,14 @@ def pair_verdicts(matches: DataFrame, max_records: int = 100, max_series: int =
     )
 
 
-def overlap_verdicts(articles: DataFrame, candidates: DataFrame, now: Column, days: int = 7, block: float = 0.50, flag: float = 0.30) -> DataFrame:
-    """Per article the best candidate of the last days by Jaccard over model phrases; the earliest wins ties."""
+def overlap_verdicts(articles: DataFrame, candidates: DataFrame, now: Column, days: int = 7, block: float = 0.50, flag: float = 0.30, seen: Seen | None = None) -> DataFrame:
+    """Per article the best candidate of the last days by Jaccard over model phrases; the earliest wins ties.
+
+    seen, if given, keeps the rows (link, other, …) whose candidate the article may see.
+    """
     own = candidates.where(e.safe(F.col("fp")) & (F.col("ts") >= now - F.expr(f"interval {days} days")))
     both = _sides(articles, own, "model", F.col("fp.strict"), F.col("fp.strict"))
+    both = seen(both) if seen else both
     sim = e.jaccard(F.col("a.fp.strict"), F.col("c.fp.strict"))
     both = both.withColumn("sim", sim).where(F.col("sim") >= flag)
     best = both.withColumn("key", F.struct((-F.col("sim")).alias("s"), F.col("c.ordinal").alias("o"))).groupBy("link").agg(F.min_by(F.struct("a", "c", "sim"), "key").alias("x"))
@@ -117,12 +126,13 @@ def overlap_verdicts(articles: DataFrame, candidates: DataFrame, now: Column, da
     )
 
 
-def verdicts(articles: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
+def verdicts(articles: DataFrame, candidates: DataFrame, now: Column, seen: Seen | None = None) -> DataFrame:
     """Per article: decision, reason, match, pairs, overlap_pct and rejected series, by the pair rule and then the overlap rule."""
-    by_pair = pair_verdicts(pair_matches(articles, candidates)).select(
+    matches = pair_matches(articles, candidates)
+    by_pair = pair_verdicts(seen(matches) if seen else matches).select(
         "link", F.col("decision").alias("p"), F.col("match").alias("p_match"), "pairs", "n_total", "suppressed"
     )
-    by_overlap = overlap_verdicts(articles, candidates, now).select(
+    by_overlap = overlap_verdicts(articles, candidates, now, seen=seen).select(
         "link", F.col("decision").alias("o"), F.col("reason").alias("o_reason"), F.col("match").alias("o_match"), "overlap_pct", "models"
     )
     df = articles.select("link", "fp").join(by_pair, "link", "left").join(by_overlap, "link", "left")
@@ -147,21 +157,33 @@ def verdicts(articles: DataFrame, candidates: DataFrame, now: Column) -> DataFra
     )
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's folder; a folder of this machine only where a local session names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-"))
+    return df.checkpoint()
+
+
 def in_tick(articles: DataFrame, candidates: DataFrame, now: Column, max_rounds: int = 50) -> DataFrame:
-    """Pair verdicts of articles that come one after another: an earlier article that was staged is a candidate for later ones.
+    """Verdicts of articles that come one after another (by ordinal): an earlier article that was staged is a candidate for later ones.
 
-    Only a block keeps an article from being staged. Verdicts are recomputed with the
-    articles that the last round staged until none changes: after k rounds all
-    articles with fewer than k earlier ones that depend on each other are final.
+    Only a block keeps an article from being staged; both rules see the staged ones.
+    Verdicts are recomputed with the articles that the last round staged until none
+    changes: after k rounds all articles with fewer than k earlier ones that depend on
+    each other are final. Links are unique among articles and candidates together.
     """
-    articles = articles.withColumn("arrival", F.col("ordinal")).checkpoint()
+    articles, candidates = _kept(articles.withColumn("arrival", F.col("ordinal"))), _kept(candidates)
     blocked = articles.select("link").limit(0)
     before = None
     for _ in range(max_rounds):
         staged = articles.join(blocked, "link", "left_anti")
-        out = _sequential(articles, candidates, staged, now).checkpoint()
+        out = _kept(_sequential(articles, candidates, staged, now))
         blocked = out.where("decision = 'block'").select("link")
-        after = {"n": blocked.count(), "h": blocked.agg(F.sum(F.xxhash64("link").cast("decimal(38,0)"))).first()[0]}
+        after = blocked.agg(F.count("*"), F.sum(F.xxhash64("link").cast("decimal(38,0)"))).first()
         if after == before:
             return out
         before = after
@@ -173,12 +195,13 @@ def _sequential(articles: DataFrame, candidates: DataFrame, staged: DataFrame, n
 
     Candidates carry the arrival after which they are visible; those of the tables are visible to all.
     """
-    db = candidates.withColumn("arrival", F.lit(None).cast(dict(articles.dtypes)["arrival"]))
     own = staged.withColumn("ordinal", F.struct(F.lit(0).alias("branch"), F.col("ts"), F.col("link")))
-    everyone = db.unionByName(own, allowMissingColumns=True)
-    matches = pair_matches(articles, everyone)
+    everyone = candidates.withColumn("arrival", F.lit(None).cast(staged.schema["arrival"].dataType)).unionByName(own, allowMissingColumns=True)
     late = everyone.select(F.col("link").alias("other"), F.col("arrival").alias("other_arrival"))
     mine = articles.select("link", F.col("arrival").alias("my_arrival"))
     earlier = F.col("other_arrival").isNull() | (F.col("other_arrival") < F.col("my_arrival"))
-    matches = matches.join(late, "other").join(mine, "link").where(earlier).drop("other_arrival", "my_arrival")
-    return pair_verdicts(matches).join(articles.select("link"), "link", "right").select("link", F.coalesce("decision", F.lit("pass")).alias("decision"), "match", "pairs")
+
+    def seen(pairs: DataFrame) -> DataFrame:
+        return pairs.join(late, "other").join(mine, "link").where(earlier).drop("other_arrival", "my_arrival")
+
+    return verdicts(articles, everyone, now, seen)

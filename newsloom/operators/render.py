@@ -161,6 +161,22 @@ def rendered(title: pd.Series, subtitle: pd.Series, blocks_json: pd.Series, para
     return pd.Series(out)
 
 
+def marked_paragraphs(paragraphs: list[str], blocks: list[dict] | None) -> list[str]:
+    """Paragraphs with the bold runs of the prose blocks in the same place; those beyond the blocks stay plain."""
+    prose = [b.get("runs") for b in blocks or [] if isinstance(b, dict) and b.get("type") in ("lead", "paragraph", "heading", "list_item")]
+    return [encode_markers(p, runs) for p, runs in zip(paragraphs, prose, strict=False)] + paragraphs[len(prose) :]
+
+
+@pandas_udf(StringType())
+def user_message(source_name: pd.Series, title: pd.Series, subtitle: pd.Series, paragraphs_json: pd.Series, blocks_json: pd.Series) -> pd.Series:
+    """The article as JSON for a translation call: names, title, subtitle and marked paragraphs, without blocks."""
+    out = []
+    for n, t, s, p, b in zip(source_name, title, subtitle, paragraphs_json, blocks_json, strict=True):
+        body = marked_paragraphs(json.loads(p) if p else [], json.loads(b) if b else None)
+        out.append(json.dumps({"source_name": n, "title": t, "subtitle": s, "paragraphs": body}, ensure_ascii=False))
+    return pd.Series(out)
+
+
 @pandas_udf(IntegerType())
 def json_depth(values: pd.Series) -> pd.Series:
     """How deep objects and lists of a JSON text nest; null if it is no JSON."""
