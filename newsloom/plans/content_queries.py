@@ -238,20 +238,67 @@ def failing_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.failing_streaks(rows.select("key", "ts", (F.col("kind") == "ok").alias("ok")))
 
 
-def _machine(name: str, kinds: dict[str, str], **options):
+def _numbered(kinds: dict[str, str]) -> str:
+    """SQL of the events e (key, ts, seq, kind, rn, grp) of a machine: rn counts a key's events, grp the successes before each."""
+    cases = " ".join(f"when '{a}' then '{b}'" for a, b in kinds.items())
+    good = ", ".join(f"'{b}'" for b in sorted(set(kinds.values()) & {"recovery", "published", "ok"}) or ["none"])
+    return f"""k as (select user_id as key, ts, event_id seq, case event_type {cases} end kind from events where ts is not null),
+    n as (select *, row_number() over w rn, lag(kind) over w before, count_if(kind in ({good})) over w grp_after from k where kind is not null window w as (partition by key order by ts, seq)),
+    e as (select *, grp_after - (kind in ({good}))::int grp from n)"""
+
+
+def _stepped(kinds: dict[str, str], state: str, first: str, later: str, output: str) -> str:
+    """SQL of a machine that goes event by event: the state's columns, their first and later values, and what is said."""
+    return f"""with recursive {_numbered(kinds)}, r as (
+      select key, ts, seq, rn, {first} from e where rn = 1
+      union all select e.key, e.ts, e.seq, e.rn, {later} from r join e on e.key is not distinct from r.key and e.rn = r.rn + 1)
+    select key, ts, seq, {output} "output" from (select key, ts, seq, {state} from r)"""
+
+
+MACHINE_KINDS = {
+    "outage": {"error": "outage", "purchase": "recovery"},
+    "gap": {"error": "ping", "click": "ping"},
+    "hold": {"error": "held", "purchase": "published"},
+    "strike": {"error": "failed", "purchase": "ok"},
+    "streak": {"error": "failed", "purchase": "ok"},
+    "cooldown": {"error": "throttled", "view": "ok"},
+}
+MACHINE_OPTIONS = {"cooldown": {"limit": 2}}
+MACHINE_SQL = {
+    "outage": f"""with {_numbered(MACHINE_KINDS["outage"])},
+      a as (select *, ts - min(ts) over (partition by key, grp) age, row_number() over (partition by key, grp order by ts, seq) n from e where kind = 'outage'),
+      b as (select *, min(case when age >= interval 1 hour then n end) over (partition by key, grp) n2 from a),
+      c as (select *, min(case when n > n2 and age >= interval 2 hour then n end) over (partition by key, grp) n3 from b)
+      select key, ts, seq, case n when 1 then 'ping1' when n2 then 'ping2' else 'fallback' end "output" from c where n = 1 or n = n2 or n = n3
+      union all select key, ts, seq, 'recovered' from e where kind = 'recovery' and before = 'outage'""",
+    "gap": _stepped(MACHINE_KINDS["gap"], "sent, said", "ts sent, true said", "case when e.ts - r.sent < interval 1 hour then r.sent else e.ts end, e.ts - r.sent >= interval 1 hour", "case when said then 'sent' else 'suppressed' end"),
+    "hold": f"""with {_numbered(MACHINE_KINDS["hold"])}, h as (select *, row_number() over (partition by key, grp order by ts, seq) n from e where kind = 'held')
+      select key, ts, seq, case when max(n) over (partition by key order by ts, seq) >= 6 then 'deferred' else 'held' end "output" from h
+      union all select key, ts, seq, 'published' from e where kind = 'published'""",
+    "strike": f"""with {_numbered(MACHINE_KINDS["strike"])}
+      select key, ts, seq, case when row_number() over (partition by key, grp order by ts, seq) >= 3 then 'dead' else 'retry' end "output" from e where kind = 'failed'
+      union all select key, ts, seq, 'ok' from e where kind = 'ok'""",
+    "streak": f"""with {_numbered(MACHINE_KINDS["streak"])}
+      select key, ts, seq, case when dense_rank() over (partition by key, grp order by ts::date) >= 3 then 'retired' else 'failing' end "output" from e where kind = 'failed'
+      union all select key, ts, seq, 'reset' from e where kind = 'ok' and before = 'failed'""",
+    "cooldown": _stepped(
+        MACHINE_KINDS["cooldown"], "said", "(kind = 'throttled')::int n, null::timestamp until, case when kind = 'throttled' then 'throttled' else 'ok' end said",
+        """case when e.ts < r.until then r.n when e.kind <> 'throttled' or r.n + 1 >= 2 then 0 else r.n + 1 end,
+        case when e.ts < r.until then r.until when e.kind = 'throttled' and r.n + 1 >= 2 then e.ts + interval 1 hour end,
+        case when e.ts < r.until then 'paused' when e.kind <> 'throttled' then 'ok' when r.n + 1 >= 2 then 'pause' else 'throttled' end""",
+        "said",
+    ),
+}
+
+
+def _machine(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return s.fold(_machine_events(spark, sf_dir, kinds).where("kind <> 'other'"), s.MACHINES[name], **options)
+        return s.fold(_machine_events(spark, sf_dir, MACHINE_KINDS[name]).where("kind <> 'other'"), s.MACHINES[name], **MACHINE_OPTIONS.get(name, {}))
 
     run.__name__ = f"machine_{name}"
     return run
 
 
-for _f in (
-    _machine("outage", {"error": "outage", "purchase": "recovery"}),
-    _machine("gap", {"error": "ping", "click": "ping"}),
-    _machine("hold", {"error": "held", "purchase": "published"}),
-    _machine("strike", {"error": "failed", "purchase": "ok"}),
-    _machine("streak", {"error": "failed", "purchase": "ok"}),
-    _machine("cooldown", {"error": "throttled", "view": "ok"}, limit=2),
-):
-    QUERIES[_f.__name__] = _f
+for _name in MACHINE_KINDS:
+    QUERIES[f"machine_{_name}"] = _machine(_name)
+    SQL[f"machine_{_name}"] = MACHINE_SQL[_name]
