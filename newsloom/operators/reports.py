@@ -19,10 +19,16 @@ def source_report(published: DataFrame, now: Column, days: int = 30) -> DataFram
     )
 
 
-def source_silence(expected: DataFrame, report: DataFrame, quiet_for_good: int = 45) -> DataFrame:
-    """Verdict on each expected source name against the report's names that contain it; the first by name counts."""
-    hits = expected.join(F.broadcast(report.withColumnRenamed("source_name", "found")), F.contains("found", "source"), "left")
-    first = hits.groupBy("source").agg(F.min(F.struct("found", "n", "age_days")).alias("x"))
+def source_silence(expected: list[str], report: DataFrame, quiet_for_good: int = 45) -> DataFrame:
+    """Verdict on each expected source name against the report's names that contain it; the first by name counts.
+
+    The report is read once, whatever its size, and leaves one row per expected name.
+    """
+    names = list(dict.fromkeys(expected))
+    wanted = report.sparkSession.createDataFrame([(n,) for n in names], "source string")
+    found = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda s: F.contains("source_name", s))
+    hits = report.select(F.col("source_name").alias("found"), "n", "age_days", F.explode(found).alias("source"))
+    first = wanted.join(hits.groupBy("source").agg(F.min(F.struct("found", "n", "age_days")).alias("x")), "source", "left")
     n, age = F.col("x.n"), F.col("x.age_days")
     verdict = (
         F.when(F.col("x.found").isNull(), F.lit("WARN")).when((n == 0) & (age > quiet_for_good), F.lit("INFO")).when(n == 0, F.lit("WARN")).otherwise(F.lit("OK"))

@@ -42,8 +42,7 @@ f as (select e.source, min(struct_pack(found := found, n := n, age := age_days))
 select source, x.found found, case when x.found is null then 'WARN' when x.n = 0 and x.age > 45 then 'INFO' when x.n = 0 then 'WARN' else 'OK' end severity
 from f""")
 def source_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = spark.createDataFrame([("src1",), ("src3",), ("src9",), ("rc",)], "source string")
-    return r.source_silence(expected, r.source_report(t.published(spark, sf_dir), t.now()))
+    return r.source_silence(["src1", "src3", "src9", "rc"], r.source_report(t.published(spark, sf_dir), t.now()))
 
 
 @query(f"""with {t.PENDING}
