@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import chat_format, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, sentencepiece_codec, sharding, source_mixing, url_filter
+from newsloom.llm import (
+    chat_format,
+    embedding_whitening,
+    exact_dedup,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    license_scan,
+    merkle_manifest,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+    source_mixing,
+    url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_language_id": language_id.op9_language_id,
         "op10_chat_format": chat_format.op10_chat_format,
+        "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+        "op12_embedding_whitening": embedding_whitening.op12_embedding_whitening,
+        "op13_secret_scan": secret_scan.op13_secret_scan,
     }
 
 
@@ -32,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard_join": jaccard_join.OP3_SQL,
         "op6_source_mixing": source_mixing.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op11_merkle_manifest": merkle_manifest.OP11_SQL,
     }
