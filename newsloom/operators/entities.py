@@ -1,4 +1,10 @@
-"""Entity fingerprints: brand and model phrases, series names and their pair keys."""
+"""Entity fingerprints: brand and model phrases, series names and their pair keys.
+
+One pass of an Aho-Corasick automaton over the lower-case text finds where a brand, an
+alias or a series may begin (the first words of all names are its keys). Only there are the
+rules of the grammar tried, so the time of a text is that of the automaton plus its hits, whatever
+the number of names.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,10 +85,10 @@ class Lexicon:
 
     @cached_property
     def _brand_at(self) -> re.Pattern:
-        """A brand at a position, years before it allowed; no boundary is asked for after it."""
+        """A brand at a position; no boundary is asked for after it."""
         names = sorted({*self.brands, *self.aliases}, key=lambda n: (" " not in n, -len(n), n))
         spelled = "|".join(r"\s{1,2}".join(map(re.escape, n.split(" "))) for n in names) or r"(?!)"
-        return re.compile(rf"\b(?=(?:(?:19|20)\d{{2}}\s{{1,3}})?(?P<brand>{spelled}))", re.I)
+        return re.compile(rf"\b(?:{spelled})", re.I)
 
     @cached_property
     def _series_at(self) -> re.Pattern:
@@ -94,49 +101,81 @@ class Lexicon:
     def _cased_at(self) -> re.Pattern:
         return re.compile(rf"\b(?:{'|'.join(map(re.escape, self.cased_brands)) or '(?!)'})\b")
 
+    @cached_property
+    def _automaton(self) -> ahocorasick.Automaton:
+        """First words of all names, with their lengths."""
+        out = ahocorasick.Automaton()
+        for name in {*self.brands, *self.aliases, *self.series, *(b.lower() for b in self.cased_brands)}:
+            word = name.split(" ")[0]
+            out.add_word(word, len(word))
+        out.make_automaton()
+        return out
+
+    #: Letters that match a, i, k or s regardless of case, though their lower case is another one or longer.
+    _odd_letters = re.compile("[\u0130\u0131\u017f]")
+    _words = re.compile(r"\b(?=\w)")
+
+    def starts(self, text: str) -> list[int]:
+        """Positions at which a name may begin, in order: a superset of those where one does."""
+        if self._odd_letters.search(text):
+            return [m.start() for m in self._words.finditer(text)]
+        if not len(self._automaton):
+            return []
+        return sorted({end - size + 1 for end, size in self._automaton.iter(text.lower())})
+
+    # The words of a model.
     _first = re.compile(r"[\s\-]{1,3}([A-Za-z0-9][A-Za-z0-9\-]{1,24})")
     _more = re.compile(r"\s{1,2}([A-Za-z0-9][A-Za-z0-9\-]{0,24})")
     #: Further words of a model: capitals and digits, any digit, or a hyphen.
     _designator = re.compile(r"[A-Z0-9]+|[A-Za-z0-9]*\d[A-Za-z0-9\-]*|[A-Za-z]+-[A-Za-z0-9\-]+")
 
+    def model_after(self, text: str, at: int) -> list[str]:
+        """The words of the model that follows a brand; none if another brand does, or nothing of its form."""
+        first = self._first.match(text, at)
+        if not first or first[1].lower() in self._all_brands:
+            return []
+        words, at = [first[1].lower()], first.end()
+        while len(words) < 3 and (extra := self._more.match(text, at)):
+            if extra[1].lower() in self._all_brands or not self._designator.fullmatch(extra[1]):
+                break
+            words.append(extra[1].lower())
+            at = extra.end()
+        return words
+
     def scan_series(self, text: str) -> dict[str, str]:
         """Series named in a text, with their tiers."""
-        found = {}
-        for m in self._series_at.finditer(text):
-            entry = self.series.get(re.sub(r"\s{1,3}", " ", m[0].strip().lower()))
-            if entry:
-                found[entry[0]] = entry[1]
-        return found
+        return self._read(text)[2]
+
+    def _read(self, text: str) -> tuple[set[str], set[tuple[str, ...]], dict[str, str]]:
+        """Brands, (brand, words of its model), and series with their tiers."""
+        brands: set[str] = set()
+        models: set[tuple[str, ...]] = set()
+        series: dict[str, str] = {}
+        free = 0  # where the last series ended; they do not overlap
+        for at in self.starts(text):
+            if found := self._brand_at.match(text, at):
+                name = re.sub(r"\s+", " ", found[0].lower())
+                brand = self.aliases.get(name, name)
+                brands.add(brand)
+                if words := self.model_after(text, found.end()):
+                    models.add((brand, *words))
+            if found := self._cased_at.match(text, at):
+                brands.add(found[0].lower())
+            if at >= free and (found := self._series_at.match(text, at)):
+                free = found.end()
+                if entry := self.series.get(re.sub(r"\s+", " ", found[0].lower())):
+                    series[entry[0]] = entry[1]
+        return brands, models, series
 
     def scan(self, text: str | None) -> dict[str, list[str]]:
         """The fingerprint of a text: four sorted lists, empty for an empty text."""
-        strict: set[str] = set()
-        eligible: set[str] = set()
-        brands: set[str] = set()
-        for m in self._brand_at.finditer(text or ""):
-            name = re.sub(r"\s{1,3}", " ", m["brand"].lower())
-            brand = self.aliases.get(name, name)
-            brands.add(brand)
-            model = self._first.match(text, m.end("brand"))
-            if not model or model[1].lower() in self._all_brands:
-                continue
-            words, at = [model[1].lower()], model.end()
-            for _ in range(2):
-                extra = self._more.match(text, at)
-                if not extra or extra[1].lower() in self._all_brands or not self._designator.fullmatch(extra[1]):
-                    break
-                words.append(extra[1].lower())
-                at = extra.end()
-            phrase = " ".join([brand, *words])
-            strict.add(phrase)
-            if words[0] not in self.connectors:
-                eligible.add(phrase)
-        brands |= {m[0].lower() for m in self._cased_at.finditer(text or "")}
-        series = self.scan_series(text or "")
-        pairs = {f"{p}|{s}|{'D' if tier == 'distinctive' else 'B'}" for s, tier in series.items() for p in eligible}
-        if not eligible:
+        brands, models, series = self._read(text or "")
+        eligible = [" ".join(m) for m in models if m[1] not in self.connectors]
+        if eligible:
+            pairs = {f"{p}|{s}|{'D' if tier == 'distinctive' else 'B'}" for s, tier in series.items() for p in eligible}
+        else:
             pairs = {f"*|{s}|B" for s, tier in series.items() if tier == "distinctive" and s not in self.recurring}
-        return {"strict": sorted(strict), "brands": sorted(brands), "series": sorted(series), "pairs": sorted(pairs)}
+        return {"strict": sorted({" ".join(m) for m in models}), "brands": sorted(brands), "series": sorted(series), "pairs": sorted(pairs)}
 
 
 def fingerprint(lexicon: Lexicon = Lexicon()):
