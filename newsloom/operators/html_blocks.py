@@ -69,13 +69,14 @@ class _Tree(HTMLParser):
     #: A new one of these closes an open one.
     CLOSES = {"p": {"p"}, "li": {"li"}, "h1": {"p"}, "h2": {"p"}, "h3": {"p"}, "h4": {"p"}, "ul": {"p"}, "ol": {"p"}, "figure": {"p"}, "div": {"p"}, "article": {"p"}}
 
-    def __init__(self) -> None:
+    def __init__(self, closing: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.closes = self.CLOSES if closing else {}
         self.root = Node("#root")
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        for closed in self.CLOSES.get(tag, ()):
+        for closed in self.closes.get(tag, ()):
             names = [n.tag for n in self.open]
             if closed in names[-8:]:
                 del self.open[len(names) - 1 - names[::-1].index(closed) :]
@@ -97,8 +98,9 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def parse(html: str | None) -> Node:
-    tree = _Tree()
+def parse(html: str | None, closing: bool = True) -> Node:
+    """The tree of a page; without ``closing``, an open paragraph or item holds whatever follows it up to its end tag."""
+    tree = _Tree(closing)
     tree.feed(html or "")
     tree.close()
     return tree.root
@@ -324,14 +326,14 @@ def article(html: str | None, site: Site = Site(), base: str = "") -> dict:
     return {"title": name, "subtitle": subtitle, "paragraphs": texts or [name], "images": [b["src"] for b in blocks if b["type"] == "image"], "blocks": blocks}
 
 
+ARROW_RUN = pa.struct([("text", pa.string()), ("href", pa.string()), ("formats", pa.list_(pa.string()))])
+ARROW_BLOCK = pa.struct([("type", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("src", pa.string()), ("caption", pa.string()), ("runs", pa.list_(ARROW_RUN))])
 SCHEMA = f"id long, title string, subtitle string, paragraphs array<string>, images array<string>, blocks array<{BLOCK}>"
 
 
 def extract(pages: DataFrame, site: Site = Site(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The article of each page; a page without markup gives an empty one."""
     kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
-    run = pa.struct([("text", pa.string()), ("href", pa.string()), ("formats", pa.list_(pa.string()))])
-    block = pa.struct([("type", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("src", pa.string()), ("caption", pa.string()), ("runs", pa.list_(run))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -340,6 +342,6 @@ def extract(pages: DataFrame, site: Site = Site(), id_col: str = "page_id", url_
                 found = [article(h, site, u or "") for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
                 names = ["title", "subtitle", "paragraphs", "images"]
                 columns = [pa.array([f[n] for f in found], k) for n, k in zip(names, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, pa.array([f["blocks"] for f in found], pa.list_(block))], ["id", *names, "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, pa.array([f["blocks"] for f in found], pa.list_(ARROW_BLOCK))], ["id", *names, "blocks"])
 
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(read, SCHEMA)
