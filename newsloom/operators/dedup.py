@@ -8,16 +8,14 @@ compared that shares neither a pair key nor a model phrase.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import temporal
 from newsloom.operators import entities as e
 
-Seen = Callable[[DataFrame], DataFrame]
-
 
 def candidate_set(pending: DataFrame, published: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Recent pending rows, then recent published ones, in one numbered order: branch, time, link."""
@@ -46,13 +44,58 @@ def with_subjects(rows: DataFrame, lexicon: e.Lexicon = e.Lexicon()) -> DataFram
     return rows.withColumn("subject", e.fingerprint(lexicon)(F.coalesce("title", F.lit(""))))
 
 
-def _sides(articles: DataFrame, candidates: DataFrame, key: str, keys_a: Column, keys_c: Column) -> DataFrame:
-    """Article and candidate rows that share an element, once per pair; a pair is of different sources and without conflicting years."""
-    a = articles.select(F.struct("link", "source_name", "title", "subject", "fp", "ordinal", "ts").alias("a"), F.explode(keys_a).alias(key))
-    c = candidates.select(F.struct("link", "source_name", "title", "subject", "fp", "ordinal", "ts").alias("c"), F.explode(keys_c).alias(key))
-    joined = a.join(c, key).where((F.col("a.source_name") != F.col("c.source_name")) & (F.col("a.link") != F.col("c.link")))
-    once = joined.groupBy(F.col("a.link").alias("link"), F.col("c.link").alias("other")).agg(F.first("a").alias("a"), F.first("c").alias("c"))
-    return once.where(~conflicting_years(F.col("a.title"), F.col("c.title")))
+#: Rows of one key that meet in one task, on either side; keys with more are dealt over a grid of tasks.
+ROWS_PER_CELL = 4_000
+#: Keys cut in this way that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def _parts(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """Into how many parts the rows of each key with more than ``size`` are cut; at most one in ``size`` rows has such a key."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias(name))
+
+
+def meeting(articles: DataFrame, candidates: DataFrame, key: str, apart: Column, size: int = ROWS_PER_CELL) -> DataFrame:
+    """Rows of both index tables that share a key and satisfy a condition.
+
+    The tables hold keys and what the rule needs of a row (link and other name the rows), never the articles.
+    A key of many rows is cut by the hash of the links on both sides, and each part of one side meets each of the
+    other in a task of its own, so no task gets more than ``size`` rows of either side of a key.
+    """
+    cut_a, cut_c = _parts(articles, key, size, "parts_a"), _parts(candidates, key, size, "parts_c")
+    cuts = kept(cut_a.join(cut_c, key, "full"))
+    n = cuts.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return articles.join(candidates, key).where(apart)
+    cuts = F.broadcast(cuts) if n <= BROADCAST_ROWS else cuts
+    some = lambda name: F.coalesce(F.col(name), F.lit(1))
+    every = lambda name: F.explode(F.sequence(F.lit(0), some(name) - 1))
+    mine = articles.join(cuts, key, "left").withColumn("cell_a", F.pmod(F.xxhash64("link"), some("parts_a")).cast("int")).withColumn("cell_c", every("parts_c"))
+    theirs = candidates.join(cuts, key, "left").withColumn("cell_c", F.pmod(F.xxhash64("other"), some("parts_c")).cast("int")).withColumn("cell_a", every("parts_a"))
+    cells = [key, "cell_a", "cell_c"]
+    return mine.drop("parts_a", "parts_c").join(theirs.drop("parts_a", "parts_c"), cells).where(apart).drop("cell_a", "cell_c")
+
+
+def _different() -> Column:
+    """Of different sources, not the same article, and without conflicting years."""
+    clash = (F.size("years") > 0) & (F.size("other_years") > 0) & ~F.arrays_overlap("years", "other_years")
+    return (F.col("source") != F.col("other_source")) & (F.col("link") != F.col("other")) & ~clash
+
+
+def _pair_index(rows: DataFrame, pairs: Column) -> DataFrame:
+    """A row per article and well-formed pair key: the key's parts, and whether the title names its series and model."""
+    part = e.parsed_pair(F.col("pair"))
+    df = rows.withColumn("keys", pairs).select("link", "source_name", "title", "subject", "ordinal", F.size("keys").alias("n"), F.explode("keys").alias("pair"))
+    return df.select(
+        "link",
+        F.col("source_name").alias("source"),
+        years(F.col("title")).alias("years"),
+        "ordinal",
+        "n",
+        "pair",
+        F.array_contains("subject.series", part["series"]).alias("titled"),
+        ((part["model"] != "*") & mentions(F.col("title"), part["model"], F.col("subject"))).alias("named"),
+    )
 
 
 def pair_matches(articles: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -62,35 +105,37 @@ def pair_matches(articles: DataFrame, candidates: DataFrame) -> DataFrame:
     broad pair with a model whose series both titles name), else null; rejected lists
     the series of shared broad pairs that did not qualify.
     """
-    own = candidates.where(e.safe(F.col("fp")))
-    both = _sides(articles, own, "pair", F.filter(F.col("fp.pairs"), lambda p: e.parsed_pair(p).isNotNull()), e.coherent_pairs(F.col("fp")))
-    mine = F.filter(F.col("a.fp.pairs"), lambda p: e.parsed_pair(p).isNotNull())
-    theirs = e.coherent_pairs(F.col("c.fp"))
-    shared = F.array_sort(F.array_intersect(mine, theirs))
-    part = e.parsed_pair
-    in_titles = lambda p: F.array_contains(F.col("a.subject.series"), part(p)["series"]) & F.array_contains(F.col("c.subject.series"), part(p)["series"])
-    df = both.withColumn("shared", shared).withColumn("n_total", F.size(F.array_union(mine, theirs)))
-    named = lambda p: mentions(F.col("a.title"), part(p)["model"], F.col("a.subject")) & mentions(F.col("c.title"), part(p)["model"], F.col("c.subject"))
-    distinctive = F.filter("shared", lambda p: (part(p)["tier"] == "D") & (part(p)["model"] != "*") & in_titles(p) & named(p))
-    broad = F.filter("shared", lambda p: part(p)["tier"] == "B")
-    qualified = F.filter(broad, lambda p: (part(p)["model"] != "*") & in_titles(p))
-    rejected = F.array_sort(F.array_distinct(F.transform(F.array_except(broad, qualified), lambda p: part(p)["series"])))
-    kind = F.when(F.size(distinctive) > 0, F.lit("block")).when(F.size(qualified) > 0, F.lit("flag"))
-    return df.withColumns({"class": kind, "rejected": rejected, "qualified": qualified}).select(
-        "link", "other", F.col("c.ordinal").alias("ordinal"), "class", "shared", "qualified", "rejected", "n_total"
+    mine = _pair_index(articles, F.filter(F.col("fp.pairs"), lambda p: e.parsed_pair(p).isNotNull())).drop("ordinal")
+    theirs = _pair_index(candidates.where(e.safe(F.col("fp"))), e.coherent_pairs(F.col("fp")))
+    theirs = theirs.select(F.col("link").alias("other"), *(F.col(c).alias(f"other_{c}") for c in ("source", "years", "n", "titled", "named")), "ordinal", "pair")
+    both = meeting(mine, theirs, "pair", _different())
+    part = e.parsed_pair(F.col("pair"))
+    titled = F.col("titled") & F.col("other_titled") & (part["model"] != "*")
+    qualified = (part["tier"] == "B") & titled
+    grouped = both.groupBy("link", "other").agg(
+        F.first("ordinal").alias("ordinal"),
+        F.array_sort(F.collect_set("pair")).alias("shared"),
+        F.max((part["tier"] == "D") & titled & F.col("named") & F.col("other_named")).alias("strong"),
+        F.array_sort(F.collect_set(F.when(qualified, F.col("pair")))).alias("qualified"),
+        F.array_sort(F.collect_set(F.when((part["tier"] == "B") & ~qualified, part["series"]))).alias("rejected"),
+        (F.first("n") + F.first("other_n")).alias("n_both"),
     )
+    kind = F.when(F.col("strong"), F.lit("block")).when(F.size("qualified") > 0, F.lit("flag"))
+    return grouped.select("link", "other", "ordinal", kind.alias("class"), "shared", "qualified", "rejected", (F.col("n_both") - F.size("shared")).alias("n_total"))
 
 
 def pair_verdicts(matches: DataFrame, max_records: int = 100, max_series: int = 16) -> DataFrame:
     """Per article: the first block in candidate order, else the first flag; and what was rejected before a block."""
     first = lambda kind: F.min(F.when(F.col("class") == kind, F.struct("ordinal", "other", "shared", "qualified", "n_total")))
-    out = matches.groupBy("link").agg(
-        first("block").alias("b"),
-        first("flag").alias("f"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.size("rejected") > 0, F.struct("ordinal", "other", F.slice("rejected", 1, max_series).alias("series"))))), 1, 10 * max_records).alias("r"),
-    )
+    # only the first rejections of an article are gathered, whatever their number
+    in_order = Window.partitionBy("link").orderBy("ordinal", "other")
+    few = matches.where(F.size("rejected") > 0).select("link", "ordinal", "other", F.slice("rejected", 1, max_series).alias("series"))
+    few = few.withColumn("k", F.row_number().over(in_order)).where(F.col("k") <= max_records)
+    few = few.groupBy("link").agg(F.array_sort(F.collect_list(F.struct("ordinal", "other", "series"))).alias("r"))
+    out = matches.groupBy("link").agg(first("block").alias("b"), first("flag").alias("f")).join(few, "link", "left")
     # rejections are collected while the scan runs, that is up to the first block
-    seen = F.slice(F.filter("r", lambda s: F.col("b").isNull() | (s["ordinal"] < F.col("b.ordinal"))), 1, max_records)
+    none = F.array().cast(few.schema["r"].dataType)
+    seen = F.filter(F.coalesce("r", none), lambda s: F.col("b").isNull() | (s["ordinal"] < F.col("b.ordinal")))
     return out.select(
         "link",
         F.when(F.col("b").isNotNull(), F.lit("block")).when(F.col("f").isNotNull(), F.lit("flag")).otherwise(F.lit("pass")).alias("decision"),
@@ -101,38 +146,63 @@ def pair_verdicts(matches: DataFrame, max_records: int = 100, max_series: int =
     )
 
 
-def overlap_verdicts(articles: DataFrame, candidates: DataFrame, now: Column, days: int = 7, block: float = 0.50, flag: float = 0.30, seen: Seen | None = None) -> DataFrame:
-    """Per article the best candidate of the last days by Jaccard over model phrases; the earliest wins ties.
+def overlap_matches(articles: DataFrame, candidates: DataFrame, now: Column, days: int = 7, flag: float = 0.30) -> DataFrame:
+    """Pairs whose model phrases have a Jaccard of at least ``flag``, with the candidates of the last days: link, other, ordinal, sim.
 
-    seen, if given, keeps the rows (link, other, …) whose candidate the article may see.
+    Phrases are ordered from rare to common. Two sets can only be alike if one of the first phrases of either (all but as
+    many as the smaller overlap allows to miss) is among the first of the other, and if their sizes are: so only
+    those are indexed, and the common phrases of larger sets join nothing. The phrases themselves come back for pairs that meet.
     """
     own = candidates.where(e.safe(F.col("fp")) & (F.col("ts") >= now - F.expr(f"interval {days} days")))
-    both = _sides(articles, own, "model", F.col("fp.strict"), F.col("fp.strict"))
-    both = seen(both) if seen else both
-    sim = e.jaccard(F.col("a.fp.strict"), F.col("c.fp.strict"))
-    both = both.withColumn("sim", sim).where(F.col("sim") >= flag)
-    best = both.withColumn("key", F.struct((-F.col("sim")).alias("s"), F.col("c.ordinal").alias("o"))).groupBy("link").agg(F.min_by(F.struct("a", "c", "sim"), "key").alias("x"))
-    shared = F.array_sort(F.array_intersect("x.a.fp.strict", "x.c.fp.strict"))
-    named = F.exists(shared, lambda m: mentions(F.col("x.a.title"), m, F.col("x.a.subject")) & mentions(F.col("x.c.title"), m, F.col("x.c.subject")))
-    decision = F.when((F.col("x.sim") >= block) & named, F.lit("block")).otherwise(F.lit("flag"))
-    reason = F.when((F.col("x.sim") >= block) & ~named, F.lit("overlap_title_capped")).otherwise(F.lit("overlap"))
-    return best.select(
+    some = F.size("fp.strict") > 0
+    phrases = lambda df: df.where(some).select("link", F.explode("fp.strict").alias("model"))
+    counted = phrases(articles).unionByName(phrases(own)).groupBy("model").agg(F.count("*").alias("rows"))
+
+    def index(df: DataFrame) -> DataFrame:
+        sets = phrases(df).join(counted, "model").groupBy("link").agg(F.array_sort(F.collect_list(F.struct("rows", "model"))).alias("order"))
+        n = F.size("order")
+        first = F.slice("order", F.lit(1), n - F.ceil(n * F.lit(flag) - 1e-9).cast("int") + 1)
+        sets = sets.select("link", n.alias("n"), F.explode(F.transform(first, lambda x: x["model"])).alias("model"))
+        return sets.join(df.select("link", F.col("source_name").alias("source"), years(F.col("title")).alias("years"), "ordinal"), "link")
+
+    mine = index(articles).drop("ordinal")
+    theirs = index(own).select(F.col("link").alias("other"), *(F.col(c).alias(f"other_{c}") for c in ("source", "years", "n")), "ordinal", "model")
+    sizes = (F.col("other_n") >= F.col("n") * flag - 1e-9) & (F.col("n") >= F.col("other_n") * flag - 1e-9)
+    met = meeting(mine, theirs, "model", _different() & sizes).groupBy("link", "other").agg(F.first("ordinal").alias("ordinal"))
+    sets = met.join(articles.select("link", F.col("fp.strict").alias("mine")), "link").join(own.select(F.col("link").alias("other"), F.col("fp.strict").alias("theirs")), "other")
+    return sets.select("link", "other", "ordinal", e.jaccard(F.col("mine"), F.col("theirs")).alias("sim")).where(F.col("sim") >= flag)
+
+
+def overlap_verdicts(matches: DataFrame, articles: DataFrame, candidates: DataFrame, block: float = 0.50) -> DataFrame:
+    """Per article the best match of the overlap rule; the earliest wins ties. Only the best one's article is read again."""
+    best = matches.groupBy("link").agg(F.min_by(F.struct("other", "sim"), F.struct((-F.col("sim")).alias("s"), F.col("ordinal").alias("o"))).alias("x"))
+    best = best.select("link", F.col("x.other").alias("other"), F.col("x.sim").alias("sim"))
+    side = lambda df, name, key: df.select(F.col("link").alias(key), F.struct("title", "subject", F.col("fp.strict").alias("strict")).alias(name))
+    both = best.join(side(articles, "a", "link"), "link").join(side(candidates, "c", "other"), "other")
+    shared = F.array_sort(F.array_intersect("a.strict", "c.strict"))
+    named = F.exists(shared, lambda m: mentions(F.col("a.title"), m, F.col("a.subject")) & mentions(F.col("c.title"), m, F.col("c.subject")))
+    return both.select(
         "link",
-        decision.alias("decision"),
-        reason.alias("reason"),
-        F.col("x.c.link").alias("match"),
-        temporal.percent_half_even(F.col("x.sim")).alias("overlap_pct"),
+        F.when((F.col("sim") >= block) & named, F.lit("block")).otherwise(F.lit("flag")).alias("decision"),
+        F.when((F.col("sim") >= block) & ~named, F.lit("overlap_title_capped")).otherwise(F.lit("overlap")).alias("reason"),
+        F.col("other").alias("match"),
+        temporal.percent_half_even(F.col("sim")).alias("overlap_pct"),
         shared.alias("models"),
     )
 
 
-def verdicts(articles: DataFrame, candidates: DataFrame, now: Column, seen: Seen | None = None) -> DataFrame:
-    """Per article: decision, reason, match, pairs, overlap_pct and rejected series, by the pair rule and then the overlap rule."""
-    matches = pair_matches(articles, candidates)
-    by_pair = pair_verdicts(seen(matches) if seen else matches).select(
-        "link", F.col("decision").alias("p"), F.col("match").alias("p_match"), "pairs", "n_total", "suppressed"
-    )
-    by_overlap = overlap_verdicts(articles, candidates, now, seen=seen).select(
+def verdicts(articles: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
+    """Per article: decision, reason, match, pairs, overlap_pct and rejected series, by the pair rule and then the overlap rule.
+
+    Both tables are read several times: keep them stored if their fingerprints are made by Python.
+    """
+    return judged(articles, candidates, pair_matches(articles, candidates), overlap_matches(articles, candidates, now))
+
+
+def judged(articles: DataFrame, candidates: DataFrame, by_pair: DataFrame, by_overlap: DataFrame) -> DataFrame:
+    """Verdicts of the articles from the matches of both rules."""
+    by_pair = pair_verdicts(by_pair).select("link", F.col("decision").alias("p"), F.col("match").alias("p_match"), "pairs", "n_total", "suppressed")
+    by_overlap = overlap_verdicts(by_overlap, articles, candidates).select(
         "link", F.col("decision").alias("o"), F.col("reason").alias("o_reason"), F.col("match").alias("o_match"), "overlap_pct", "models"
     )
     df = articles.select("link", "fp").join(by_pair, "link", "left").join(by_overlap, "link", "left")
@@ -157,7 +227,7 @@ def verdicts(articles: DataFrame, candidates: DataFrame, now: Column, seen: Seen
     )
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's folder; a folder of this machine only where a local session names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -168,40 +238,120 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def in_tick(articles: DataFrame, candidates: DataFrame, now: Column, max_rounds: int = 50) -> DataFrame:
+#: Matches of one group of articles that depend on each other that one task may follow one by one.
+MATCHES_PER_GROUP = 200_000
+
+
+def in_tick(articles: DataFrame, candidates: DataFrame, now: Column, group_size: int = MATCHES_PER_GROUP) -> DataFrame:
     """Verdicts of articles that come one after another (by ordinal): an earlier article that was staged is a candidate for later ones.
 
-    Only a block keeps an article from being staged; both rules see the staged ones.
-    Verdicts are recomputed with the articles that the last round staged until none
-    changes: after k rounds all articles with fewer than k earlier ones that depend on
-    each other are final. Links are unique among articles and candidates together.
-    """
-    articles, candidates = _kept(articles.withColumn("arrival", F.col("ordinal"))), _kept(candidates)
-    blocked = articles.select("link").limit(0)
-    before = None
-    for _ in range(max_rounds):
-        staged = articles.join(blocked, "link", "left_anti")
-        out = _kept(_sequential(articles, candidates, staged, now))
-        blocked = out.where("decision = 'block'").select("link")
-        after = blocked.agg(F.count("*"), F.sum(F.xxhash64("link").cast("decimal(38,0)"))).first()
-        if after == before:
-            return out
-        before = after
-    raise RuntimeError(f"verdicts did not settle in {max_rounds} rounds")
-
-
-def _sequential(articles: DataFrame, candidates: DataFrame, staged: DataFrame, now: Column) -> DataFrame:
-    """Verdicts with candidates from the tables and from the staged articles that arrived earlier.
-
-    Candidates carry the arrival after which they are visible; those of the tables are visible to all.
+    Only a block keeps an article from being staged; both rules see the staged ones. What can match is
+    found once, as if all were staged; then only the question who is staged goes from earlier articles to later ones, along
+    those matches. Articles that depend on each other form a group. A group of at most ``group_size`` matches is
+    followed in order by one task; larger ones go in rounds, in each of which every article is decided whose
+    earlier matches all are, so a group of any size and a chain of any length ends. Links are unique
+    among articles and candidates together.
     """
-    own = staged.withColumn("ordinal", F.struct(F.lit(0).alias("branch"), F.col("ts"), F.col("link")))
-    everyone = candidates.withColumn("arrival", F.lit(None).cast(staged.schema["arrival"].dataType)).unionByName(own, allowMissingColumns=True)
-    late = everyone.select(F.col("link").alias("other"), F.col("arrival").alias("other_arrival"))
+    articles, candidates = kept(articles.withColumn("arrival", F.col("ordinal"))), kept(candidates)
+    own = articles.withColumn("ordinal", F.struct(F.lit(0).alias("branch"), F.col("ts"), F.col("link")))
+    everyone = candidates.withColumn("arrival", F.lit(None).cast(articles.schema["arrival"].dataType)).unionByName(own, allowMissingColumns=True)
+    late = articles.select(F.col("link").alias("other"), F.col("arrival").alias("other_arrival"))
     mine = articles.select("link", F.col("arrival").alias("my_arrival"))
-    earlier = F.col("other_arrival").isNull() | (F.col("other_arrival") < F.col("my_arrival"))
 
-    def seen(pairs: DataFrame) -> DataFrame:
-        return pairs.join(late, "other").join(mine, "link").where(earlier).drop("other_arrival", "my_arrival")
-
-    return verdicts(articles, everyone, now, seen)
+    def in_time(matches: DataFrame) -> DataFrame:
+        df = matches.join(mine, "link").join(late, "other", "left")
+        return df.where(F.col("other_arrival").isNull() | (F.col("other_arrival") < F.col("my_arrival"))).withColumn("new", F.col("other_arrival").isNotNull())
+
+    by_pair, by_overlap = kept(in_time(pair_matches(articles, everyone))), kept(in_time(overlap_matches(articles, everyone, now)))
+    blocked = _blocked(articles, everyone, by_pair, by_overlap, group_size).select(F.col("link").alias("other"))
+    seen = lambda matches: matches.join(blocked, "other", "left_anti")
+    return judged(articles, everyone, seen(by_pair), seen(by_overlap))
+
+
+def _blocked(articles: DataFrame, everyone: DataFrame, by_pair: DataFrame, by_overlap: DataFrame, group_size: int) -> DataFrame:
+    """The articles that are blocked."""
+    # of each match only what decides: the rule's answer and, for the overlap rule, its place among the article's matches
+    named = _named(by_overlap, articles, everyone)
+    in_order = Window.partitionBy("link").orderBy(F.desc("sim"), "ordinal")
+    pairs = by_pair.select("link", "other", "new", "my_arrival", "class", (F.size("rejected") > 0).alias("rejected"))
+    overlaps = named.select("link", "other", "new", "my_arrival", F.row_number().over(in_order).alias("rank"), ((F.col("sim") >= 0.50) & F.col("named")).alias("strong"))
+    steps = pairs.unionByName(overlaps, allowMissingColumns=True)
+    touched = steps.groupBy("link").agg(F.max("new").alias("waits"))
+    alone = steps.join(touched.where("not waits"), "link", "left_semi")
+    linked = kept(steps.join(touched.where("waits"), "link", "left_semi"))
+    # what an article that waits for another needs to know of one that does not
+    edges = linked.where("new").select("link", "other").distinct()
+    fixed = kept(_decided(alone).select("link"))
+    free = linked.join(fixed.select(F.col("link").alias("other")), "other", "left_anti")
+    groups = _groups(edges.join(touched.where("waits").select(F.col("link").alias("other")), "other", "left_semi"))
+    grouped = linked.select("link").distinct().join(groups, "link", "left").select("link", F.coalesce("group", "link").alias("group"))
+    free = kept(free.join(grouped, "link"))
+    small = free.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") <= group_size).select("group")
+    order = [c for c in free.columns if c != "group"]
+    followed = free.join(small, "group", "left_semi").groupBy("group").applyInPandas(_follow, free.select("link").schema)
+    out = fixed.unionByName(kept(followed))
+    rest = kept(free.join(small, "group", "left_anti").select(*order))
+    while not rest.isEmpty():
+        waiting = rest.select(F.col("link").alias("other")).distinct()
+        still = rest.where("new").join(waiting, "other", "left_semi").select("link").distinct()
+        ready = kept(rest.join(still, "link", "left_anti"))
+        more = kept(_decided(ready).select("link"))
+        out = kept(out.unionByName(more))
+        # decided ones leave; those among them that are blocked are seen by nobody
+        rest = kept(rest.join(still, "link", "left_semi").join(more.select(F.col("link").alias("other")), "other", "left_anti").select(*order))
+    return out
+
+
+def _named(matches: DataFrame, articles: DataFrame, everyone: DataFrame, block: float = 0.50) -> DataFrame:
+    """Overlap matches with whether both titles name a shared model; asked only of those that could block."""
+    side = lambda df, name, key: df.select(F.col("link").alias(key), F.struct("title", "subject", F.col("fp.strict").alias("strict")).alias(name))
+    high = matches.where(F.col("sim") >= block).join(side(articles, "a", "link"), "link").join(side(everyone, "c", "other"), "other")
+    shared = F.array_intersect("a.strict", "c.strict")
+    named = F.exists(shared, lambda m: mentions(F.col("a.title"), m, F.col("a.subject")) & mentions(F.col("c.title"), m, F.col("c.subject")))
+    return high.withColumn("named", named).drop("a", "c").unionByName(matches.where(F.col("sim") < block).withColumn("named", F.lit(False)))
+
+
+def _decided(steps: DataFrame) -> DataFrame:
+    """The articles that are blocked if they see all of their matches."""
+    said = steps.groupBy("link").agg(
+        F.max(F.col("class") == "block").alias("block"),
+        F.max(F.col("class") == "flag").alias("flag"),
+        F.max("rejected").alias("capped"),
+        F.min_by("strong", "rank").alias("strong"),
+    )
+    no = F.lit(False)
+    by_overlap = ~F.coalesce("flag", no) & ~F.coalesce("capped", no) & F.coalesce("strong", no)
+    return said.where(F.coalesce("block", no) | by_overlap)
+
+
+def _follow(steps: pd.DataFrame) -> pd.DataFrame:
+    """The blocked articles of one group, one after the other."""
+    out: set = set()
+    for link, own in sorted(steps.groupby("link"), key=lambda g: g[1]["my_arrival"].iloc[0]):
+        seen = own[~own["other"].isin(out)]
+        if (seen["class"] == "block").any():
+            out.add(link)
+        elif not (seen["class"] == "flag").any() and not seen["rejected"].eq(True).any():
+            ranked = seen[seen["rank"].notna()]
+            if len(ranked) and bool(ranked.loc[ranked["rank"].idxmin(), "strong"]):
+                out.add(link)
+    return pd.DataFrame({"link": pd.Series(sorted(out), dtype=steps["link"].dtype)})
+
+
+def _groups(edges: DataFrame) -> DataFrame:
+    """link and group (the least link that edges lead to) of the ends of edges (link, other); ends are pulled to the least of their neighbours.
+
+    In each round every article hangs itself, and its neighbours, on the least article it knows, so
+    distances about halve, and the edges left are checked for change.
+    """
+    now = kept(edges.select(F.greatest("link", "other").alias("a"), F.least("link", "other").alias("b")).where("a <> b").distinct())
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        # every end knows the least of its neighbourhood, and passes it on to all of them
+        pulled = both.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
+        after = kept(pulled.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+            break
+        now = after
+    return now.select(F.col("a").alias("link"), F.col("b").alias("group")).unionByName(now.select(F.col("b").alias("link"), F.col("b").alias("group")).distinct())

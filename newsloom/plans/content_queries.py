@@ -208,7 +208,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dedup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fingerprinted(spark, sf_dir)
+    rows = d.kept(_fingerprinted(spark, sf_dir))
     # every document is judged against every other; those in English play the queue, the others the ledger
     new = rows.withColumn("ordinal", F.lit(None).cast("struct<branch:int,ts:timestamp_ntz,link:bigint>"))
     pending = F.coalesce(F.col("lang") == "en", F.lit(False))

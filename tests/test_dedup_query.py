@@ -75,3 +75,51 @@ def test_every_document_is_judged_against_all(spark, tmp_path):
     assert got == {r.link: brute(r, order) for r in rows}
     assert {d for (d, _), *_ in got.values()} == {"block", "flag", "pass"}
     assert {(k % 2, v[1] % 2) for k, v in got.items() if v[1]} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+def keyed_rows(spark, n, hot):
+    """n articles of which a share has one phrase and pair key."""
+    fp = lambda i: {"strict": ["ford gt", f"m{i % 50}"] if i % hot == 0 else [f"m{i % 50}", f"k{i}"], "brands": [], "series": ["top gun"], "pairs": ["ford gt|top gun|D"] if i % hot == 0 else [f"m{i % 50}|top gun|B"]}
+    none = {"strict": [], "brands": [], "series": ["top gun"], "pairs": []}
+    rows = [(i, f"s{i % 7}", f"Ford GT of Top Gun m{i % 50} {2020 + i % 3}", NOW - timedelta(hours=i % 200), fp(i), none, i) for i in range(n)]
+    kind = "struct<strict:array<string>,brands:array<string>,series:array<string>,pairs:array<string>>"
+    return spark.createDataFrame(rows, f"link long, source_name string, title string, ts timestamp_ntz, fp {kind}, subject {kind}, ordinal long")
+
+
+def test_hot_keys_meet_in_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import dedup as d
+
+    df = keyed_rows(spark, 240, 2)
+    now = F.lit(str(NOW)).cast("timestamp_ntz")
+    plain = [sorted(map(tuple, m.collect()), key=repr) for m in (d.pair_matches(df, df), d.overlap_matches(df, df, now))]
+    assert all(len(m) > 1000 for m in plain)
+    index = df.select("link", F.col("source_name").alias("source"), d.years(F.col("title")).alias("years"), F.explode("fp.pairs").alias("pair"))
+    theirs = index.select(F.col("link").alias("other"), F.col("source").alias("other_source"), F.col("years").alias("other_years"), "pair")
+    met = d.meeting(index, theirs, "pair", d._different(), size=9)
+    want = index.join(theirs, "pair").where(d._different())
+    assert sorted(map(tuple, met.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    monkeypatch.setattr(d.meeting, "__defaults__", (9,))
+    assert plain == [sorted(map(tuple, m.collect()), key=repr) for m in (d.pair_matches(df, df), d.overlap_matches(df, df, now))]
+    # 120 rows of the hot key on both sides: cut into 14 parts each
+    assert d._parts(index, "pair", 9, "n").where("pair = 'ford gt|top gun|D'").first()["n"] == 14
+
+
+def test_overlap_matches_agree_with_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import dedup as d
+
+    rng = random.Random(2)
+    kind = "struct<strict:array<string>,brands:array<string>,series:array<string>,pairs:array<string>>"
+    rows = [(i, f"s{rng.randrange(3)}", "t", NOW - timedelta(days=rng.choice([1, 9])), {"strict": sorted(rng.sample([f"b m{k}" for k in range(12)], rng.choice([0, 1, 2, 3, 5, 9]))), "brands": [], "series": [], "pairs": []}, i) for i in range(150)]
+    df = spark.createDataFrame(rows, f"link long, source_name string, title string, ts timestamp_ntz, fp {kind}, ordinal long")
+    got = {(r.link, r.other): r.sim for r in d.overlap_matches(df, df, F.lit(str(NOW)).cast("timestamp_ntz")).collect()}
+    want = {}
+    for a in rows:
+        for c in rows:
+            x, y = set(a[4]["strict"]), set(c[4]["strict"])
+            if a[1] != c[1] and c[3] >= NOW - timedelta(days=7) and x and y and len(x & y) / len(x | y) >= 0.3:
+                want[a[0], c[0]] = len(x & y) / len(x | y)
+    assert got == want and len(want) > 500

@@ -42,6 +42,29 @@ def test_in_tick_applies_both_rules_in_order(spark):
     assert {"pair", "overlap"} <= {r.reason for r in out} and any(r.match and r.match <= 40 for r in out)
 
 
+@pytest.mark.parametrize("group_size", [0, 40])
+def test_in_tick_in_rounds_and_mixed(spark, group_size):
+    rng = random.Random(6)
+    data = [(n, rng.choice("abc"), rng.choice(TITLES), NOW - timedelta(days=rng.choice([0, 3, 20])), "") for n in range(1, 37)]
+    every = rows(spark, data)
+    new, old = every.where("link <= 26"), every.where("link > 26")
+    now = F.lit(str(NOW)).cast("timestamp_ntz")
+    out = d.in_tick(new.withColumn("ordinal", F.col("link")), d.candidate_set(old.limit(0), old, now), now, group_size).collect()
+    got = {r.link: (r.decision, r.reason, r.match, ";".join(r.evidence) if r.evidence is not None else None, r.overlap_pct) for r in out}
+    assert got == in_order(new.collect(), old.collect())
+
+
+def test_in_tick_follows_a_long_chain(spark):
+    """Neighbours share half of their phrases, so each article hangs on the one before it, which hangs on all before."""
+    kind = "struct<strict:array<string>,brands:array<string>,series:array<string>,pairs:array<string>>"
+    fp = lambda i: {"strict": [f"b m{i + k:03}" for k in range(3)], "brands": ["b"], "series": [], "pairs": []}
+    data = [(i, f"s{i % 2}", " ".join(fp(i)["strict"]), NOW - timedelta(hours=1), fp(i), fp(i), i) for i in range(500)]
+    df = spark.createDataFrame(data, f"link long, source_name string, title string, ts timestamp_ntz, fp {kind}, subject {kind}, ordinal long")
+    now = F.lit(str(NOW)).cast("timestamp_ntz")
+    out = {r.link: (r.decision, r.match) for r in d.in_tick(df, d.candidate_set(df.limit(0), df.limit(0), now), now).collect()}
+    assert out == {i: ("block", i - 1) if i % 2 else ("pass", None) for i in range(500)}
+
+
 def test_gate_fails_open(spark):
     gated = spark.createDataFrame(
         [(1, "t", "staged", []), (2, "t", "staged", []), (3, None, "held_for_review", ["m", "n"]), (4, "t", "promo", ["p"]), (5, "t", "held_for_review", []), (6, "t", "staged", None)],
