@@ -5,21 +5,24 @@ j < i, modulo a prime. Two such arrays (two primes) answer whether any two spans
 are equal in constant time, after multiplying by the power that brings them to one
 position, and the longest common extension of two positions by binary search.
 
-The fingerprint of a text is read off the arrays: the hashes of all spans of
-``SPAN`` code points (shorter texts are one span) are brought to position zero and
+The fingerprint of a text is read off the arrays, once for each length in ``SPANS``: the hashes
+of all spans of that length (shorter texts are one span) are brought to position zero and
 mixed to 32 bits, and the ``KEEP`` smallest distinct values are written in hexadecimal,
 after the number of code points. Equal texts have equal fingerprints. The likeness of
 two fingerprints is the share of common spans (Dice) that their smallest values
-estimate; it is exact for texts of at most KEEP distinct spans, 1 for equal
+estimate, of the longest spans of which the shorter text has room for two side by side: so that
+half of it, kept, is at least one. It is exact for texts of at most KEEP distinct spans, 1 for equal
 fingerprints and 0 for texts without a common span.
 
 Each document is set beside the next one in descending doc_id. Quantiles of
 doc_id cut the order into ranges; a range is one stretch of one task, and the
 last document of a range gets its neighbour by a copy of the first document of the next
-range that has any, so no document crosses more than one border.
+range that has any, so no document crosses more than one border. An id of many rows (or no id) is
+cut by the hash of their texts too, into as many ranges as its share asks for. Rows alike in id and text
+stay together, and their hashes are made once.
 
-Edges: null is the empty text; null ids come last; repeated ids are ordered by
-text, so that the result is defined; a single document is its own next. Texts of
+Edges: null is the empty text; null ids come last; repeated ids are ordered by the hash of
+the text, then the text, so that the result is defined; a single document is its own next. Texts of
 any length are hashed whole, as UTF-32 in one numpy array each. Empty texts are
 like one another (1) and unlike all others (0). An empty table gives an empty
 result. Columns besides id and text are left out.
@@ -28,7 +31,9 @@ result. Columns besides id and text are left out.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,7 +45,8 @@ from newsloom.llm import common
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1_000_003_919, 1_442_695_041)
-SPAN = 24
+#: Code points of a span, the longest first; of the last, every text has room.
+SPANS = (24, 4, 1)
 KEEP = 64
 
 
@@ -106,11 +112,11 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def sketch(prefix: Prefix) -> np.ndarray:
-    """The smallest distinct mixed span hashes, sorted; empty for the empty text."""
+def smallest_spans(prefix: Prefix, size: int) -> np.ndarray:
+    """The smallest distinct mixed hashes of one length of span, sorted; empty for the empty text."""
     if not prefix.n:
         return np.empty(0, np.uint32)
-    x = prefix.spans(min(SPAN, prefix.n))
+    x = prefix.spans(min(size, prefix.n))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = ((x ^ (x >> np.uint64(29))) >> np.uint64(32)).astype(np.uint32)
     want = KEEP
@@ -123,18 +129,37 @@ def sketch(prefix: Prefix) -> np.ndarray:
         want *= 4
 
 
-def written(n: int, smallest: np.ndarray) -> str:
+class Sketch(NamedTuple):
+    """What a fingerprint says: the number of code points, and for each length the smallest span hashes."""
+
+    n: int
+    levels: tuple[np.ndarray, ...]
+
+
+def sketch(prefix: Prefix) -> Sketch:
+    return Sketch(prefix.n, tuple(smallest_spans(prefix, size) for size in SPANS))
+
+
+def written(made: Sketch) -> str:
     """The fingerprint as text."""
-    return f"{n:x}:" + smallest.astype(">u4").tobytes().hex()
+    return ":".join([f"{made.n:x}", *(level.astype(">u4").tobytes().hex() for level in made.levels)])
+
 
+def read(fingerprint: str) -> Sketch:
+    """What a fingerprint says."""
+    n, *levels = fingerprint.split(":")
+    return Sketch(int(n, 16), tuple(np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) for x in levels))
 
-def read(fingerprint: str) -> np.ndarray:
-    """The span hashes of a fingerprint."""
-    return np.frombuffer(bytes.fromhex(fingerprint.split(":")[1]), ">u4").astype(np.uint32)
 
+def level_of(n: int) -> int:
+    """The longest span of which n code points hold two side by side."""
+    return next((k for k, size in enumerate(SPANS) if n >= 2 * size), len(SPANS) - 1)
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+
+def likeness(one: Sketch, other: Sketch) -> float:
     """Share of common spans, estimated from the smallest hashes of both."""
+    level = level_of(min(one.n, other.n))
+    a, b = one.levels[level], other.levels[level]
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     union = np.union1d(a, b)
@@ -154,25 +179,29 @@ def edit(text: str, following: str) -> str:
 class Seen:
     """A document with its prefix hashes and sketch, which its own row and the row before need."""
 
-    def __init__(self, doc_id: int | None, text: str, stretch: int, guest: bool):
+    def __init__(self, doc_id: int | None, text: str, stretch: int, guest: bool, before: Seen | None):
         self.doc_id, self.text, self.stretch, self.guest = doc_id, text, stretch, guest
-        self.prefix = Prefix(codes_of(text))
-        self.smallest = sketch(self.prefix)
+        if before is not None and before.text == text:
+            self.prefix, self.sketch, self.edited = before.prefix, before.sketch, before.edited
+        else:
+            self.prefix = Prefix(codes_of(text))
+            self.sketch = sketch(self.prefix)
+            self.edited: dict[str, tuple] = {}  # the last edited text's values, by the half that was put in
 
     def row(self, following: Seen) -> tuple:
         changed = edit(self.text, following.text)
-        other = Prefix(codes_of(changed))
-        theirs = sketch(other)
-        return (
-            self.doc_id,
-            len(self.text),
-            hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-            written(len(self.text), self.smallest),
-            written(len(changed), theirs),
-            likeness(self.smallest, theirs),
-            likeness(self.smallest, following.smallest),
-            self.prefix.extension(0, other, 0),
-        )
+        if changed not in self.edited:
+            other = Prefix(codes_of(changed))
+            theirs = sketch(other)
+            self.edited.clear()
+            self.edited[changed] = (
+                hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
+                written(theirs),
+                likeness(self.sketch, theirs),
+                self.prefix.extension(0, other, 0),
+            )
+        digest, fingerprint, near, shared = self.edited[changed]
+        return (self.doc_id, len(self.text), digest, written(self.sketch), fingerprint, near, likeness(self.sketch, following.sketch), shared)
 
 
 SCHEMA = (
@@ -190,7 +219,7 @@ def _fingerprint_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for batch in common.slices(whole, "text"):
             out = []
             for values in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "stretch", "guest")), strict=True):
-                now = Seen(*values)
+                now = Seen(*values, held)
                 if held is not None and held.stretch == now.stretch and not held.guest:
                     out.append(held.row(now))
                 held = now
@@ -198,41 +227,65 @@ def _fingerprint_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+TOP = 2.0**63
+
+
+def stretches(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where about n ranges of equal size are cut, from keys (doc_id, h).
+
+    Returns the ids at the cuts, ascending; the number of ranges by hash that each of them has for itself; and that of null.
+    """
+    found = keys.agg(
+        F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")
+    ).first()
+    cuts, times = np.unique(np.array(found["q"] or [], np.int64), return_counts=True)
+    nulls = math.ceil(n * (found["rows"] - found["ids"]) / max(found["rows"], 1))
+    # a cut that comes k times stands for the share of k ranges: its id has k + 1 ranges of its own
+    own = np.where(times > 1, times + 1, 1)
+    return cuts, own, max(nulls, 1)
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; see the module."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = common.stored(rows.select("doc_id", "h"), "keys")
     n = ranges or max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []
-    ascending = np.array(sorted(set(cuts)), np.int64)
-    last = len(ascending)
+    cuts, own, nulls = stretches(keys, n)
+    # numbers rise as ids fall: each cut opens the ranges of its id, then those of the ids below it down to the next
+    opened = np.concatenate([[0], np.cumsum(own[::-1] + 1)])  # ranges before the k-th cut from above
+    last = int(opened[-1]) + 1
 
     @F.pandas_udf("int")
-    def place(doc_id: pd.Series) -> pd.Series:
-        """The number of cuts above an id; null is last."""
-        out = np.full(len(doc_id), last, np.int32)
+    def place(doc_id: pd.Series, h: pd.Series) -> pd.Series:
+        """The number of a row's range."""
+        falling = (TOP - 1 - h.to_numpy().astype(np.float64)) / (2 * TOP)  # 0 to 1 as the hash falls
         here = doc_id.notna().to_numpy()
-        out[here] = last - np.searchsorted(ascending, doc_id.to_numpy()[here].astype(np.int64), "right")
-        return pd.Series(out)
-
-    stretch = place("doc_id")
+        ids = doc_id.to_numpy()[here].astype(np.int64)
+        out = last + np.minimum((falling * nulls).astype(np.int64), nulls - 1)
+        above = len(cuts) - np.searchsorted(cuts, ids, "right")  # cuts greater than the id
+        is_cut = np.isin(ids, cuts)
+        parts = np.append(own[::-1], 1)[above]
+        out[here] = opened[above] + np.where(is_cut, np.minimum((falling[here] * parts).astype(np.int64), parts - 1) + 1, 0)
+        return pd.Series(out.astype(np.int32))
+
+    stretch = place("doc_id", "h")
     # the first row of each stretch that has any: at most one per cut
-    heads = ids.groupBy(stretch.alias("stretch")).agg(F.max("doc_id").alias("head")).collect()
-    heads = sorted((r["stretch"], r["head"]) for r in heads)
-    guests = [(heads[i + 1][1] if i + 1 < len(heads) else heads[0][1], s) for i, (s, _) in enumerate(heads)]
-    guest_of = spark.createDataFrame(guests, "head long, host int")
-    own = rows.withColumn("stretch", stretch).withColumn("guest", F.lit(False))
-    # rows with the id of a head visit the stretch before; only the first of them is used there
-    visiting = rows.join(F.broadcast(guest_of), F.col("doc_id").eqNullSafe(F.col("head"))).select(
-        "doc_id", "text", F.col("host").alias("stretch"), F.lit(True).alias("guest")
-    )
-    visiting = visiting.groupBy("doc_id", "stretch", "guest").agg(F.max("text").alias("text")).select("doc_id", "text", "stretch", "guest")
-    both = own.unionByName(visiting)
-    dealt = both.repartitionByRange(last + 1, "stretch").sortWithinPartitions(
-        "stretch", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc()
+    order = F.struct("doc_id", "h")  # a null id is the least
+    heads = keys.groupBy(stretch.alias("stretch")).agg(F.max(order).alias("head")).collect()
+    heads = sorted(((r["stretch"], r["head"]) for r in heads), key=lambda x: x[0])
+    guests = [(*(heads[i + 1][1] if i + 1 < len(heads) else heads[0][1]), s) for i, (s, _) in enumerate(heads)]
+    guest_of = spark.createDataFrame(guests, "head long, head_h long, host int")
+    own_rows = rows.withColumn("stretch", stretch).withColumn("guest", F.lit(False))
+    # rows with the key of a head visit the stretch before; only the first of them is used there
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h"))
+    visiting = rows.join(F.broadcast(guest_of), is_head).select("doc_id", "text", "h", F.col("host").alias("stretch"), F.lit(True).alias("guest"))
+    visiting = visiting.groupBy("doc_id", "h", "stretch", "guest").agg(F.max("text").alias("text")).select("doc_id", "text", "h", "stretch", "guest")
+    both = own_rows.unionByName(visiting)
+    dealt = both.repartitionByRange(last + nulls, "stretch").sortWithinPartitions(
+        "stretch", "guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc()
     )
-    return dealt.mapInArrow(_fingerprint_ranges, SCHEMA)
+    return dealt.select("doc_id", "text", "stretch", "guest").mapInArrow(_fingerprint_ranges, SCHEMA)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
