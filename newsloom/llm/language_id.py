@@ -44,7 +44,8 @@ from newsloom.llm import common, sentencepiece_codec
 
 LETTERS = regex.compile(r"\p{L}+")
 UND = "und"
-CACHE_WORDS = 300_000
+#: Of the table of known words: bytes, and what a word takes besides its numbers.
+CACHE_BYTES, WORD_BYTES = 32_000_000, 150
 #: Longer words are scored in windows of WINDOW letters.
 LONGEST, WINDOW = 40, 32
 
@@ -273,7 +274,7 @@ class Scorer:
     def __init__(self, languages: list[str], pieces: list[str], prob: np.ndarray, sharpness: float):
         self.model = Model(languages, Pieces(pieces), prob, sharpness)
         self.place: dict[str, int] = {}
-        self.table = np.empty((CACHE_WORDS, len(languages)))
+        self.table = np.empty((CACHE_BYTES // (WORD_BYTES + 8 * len(languages)), len(languages)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         cut = [words_of(t) for t in texts]

@@ -82,6 +82,42 @@ def test_expected_counts_use_every_character():
     assert li.expected_counts(["^ababa", "^zab"], np.ones((2, 2)), m.pieces, prob)[1] >= before[1]
 
 
+def plain_log(word, table, longest):
+    """Log of the mass of all segmentations of a word, as a plain sum over its last pieces."""
+    mass = [1.0]
+    for end in range(1, len(word) + 1):
+        total = 0.0
+        for n in range(1, min(end, longest) + 1):
+            total += mass[end - n] * table.get(word[end - n : end], table["?"] if n == 1 else 0.0)
+        mass.append(total)
+    return math.log(mass[-1])
+
+
+def test_labels_and_scores_of_whole_texts_match_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = li.fit_documents(docs, PATH)
+    assert len(m.languages) == 4
+    tables = [dict(zip(m.pieces.pieces, m.prob[:, k].tolist())) | {"?": float(m.prob[-1, k])} for k in range(4)]
+    longest = max(map(len, m.pieces.pieces))
+    known = {}
+    compared = 0
+    got = {r.doc_id: r for r in li.predict(docs, m).collect()}
+    for r in docs.collect():
+        words = ["^" + w for w in "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()]
+        if not words or len(words) > 900 or max(map(len, words)) > li.LONGEST:
+            continue
+        for w in words:
+            if w not in known:
+                known[w] = [plain_log(w, t, longest) for t in tables]
+        totals = [math.fsum(known[w][k] for w in words) for k in range(4)]
+        top = max(totals)
+        share = [math.exp((t - top) / len(words)) for t in totals]
+        assert got[r.doc_id].lang_pred == m.languages[totals.index(top)]
+        assert math.isclose(got[r.doc_id].score, share[totals.index(top)] / sum(share), rel_tol=1e-9)
+        compared += 1
+    assert compared > 120
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in li.op9_language_id(spark, "/root/testdata/sf0.01").collect()}
