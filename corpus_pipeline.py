@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and digests of ids and decoded text."""
-    return sentencepiece_codec.encode_documents(docs, TOKENIZER, with_ids=True).drop("decoded")
+    return sentencepiece_codec.encode_documents(docs, TOKENIZER, with_ids=True)
 
 
 STAGES = [

@@ -38,7 +38,7 @@ from newsloom.llm import common
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a task remembers: about so many bytes with what Python adds to each, and words no longer than so many characters.
-CACHE_BYTES, WORD_BYTES, CACHED_WORD = 96_000_000, 300, 64
+CACHE_BYTES, WORD_BYTES, CACHED_WORD = 32_000_000, 200, 64
 #: Characters that are encoded together at most, unless one word alone is longer.
 CHUNK_CHARS = 1_000_000
 
@@ -296,11 +296,11 @@ class Codec:
 
     def __init__(self, model: Model):
         self.model = model
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.passing: dict[str, tuple[int, str, str]] = {}
+        # a word's ids, joined by commas; where they do not read as the word itself, with what they read as
+        self.cache: dict[str, str | tuple[str, str]] = {}
+        self.passing: dict[str, str | tuple[str, str]] = {}
         self.held = 0
         self.names = [str(i) for i in range(len(model.pieces))]
-        self.texts = [p.replace(MARK, " ") for p in model.pieces]
         self.plain = frozenset(i for i, k in enumerate(model.kinds) if k == NORMAL)
 
     def look_up(self, words: set[str]) -> None:
@@ -318,17 +318,15 @@ class Codec:
                 end += 1
             chunk = missing[at:end]
             ids, bounds = self.model.encode_words(chunk)
-            names, texts, plain = self.names, self.texts, self.plain
+            names, plain = self.names, self.plain
             for k, w in enumerate(chunk):
                 own = ids[bounds[k] : bounds[k + 1]]
-                if plain.issuperset(own):  # no byte pieces to gather
-                    surface = "".join([texts[i] for i in own])
-                else:
-                    surface = self.surface(own)
-                found = (len(own), ",".join([names[i] for i in own]), surface)
+                found = ",".join([names[i] for i in own])
+                if not plain.issuperset(own):  # bytes to gather
+                    found = (found, self.surface(own))
                 if len(w) <= CACHED_WORD:
                     self.cache[w] = found
-                    self.held += WORD_BYTES + len(w) + len(found[1]) + len(surface)
+                    self.held += WORD_BYTES + len(w) + len(found)
                 else:
                     self.passing[w] = found
             at = end
@@ -346,27 +344,31 @@ class Codec:
     def encoded(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, and the decoded text; the words must be cached."""
         cache, passing = self.cache, self.passing
-        found = [cache.get(w) or passing[w] for w in self.model.split(text)]
-        decoded = "".join([f[2] for f in found])
+        words = self.model.split(text)
+        found = [cache.get(w) or passing[w] for w in words]
+        if tuple in set(map(type, found)):
+            decoded = "".join([w.replace(MARK, " ") if isinstance(f, str) else f[1] for w, f in zip(words, found, strict=True)])
+            ids = ",".join([f if isinstance(f, str) else f[0] for f in found])
+        else:
+            decoded, ids = "".join(words).replace(MARK, " "), ",".join(found)
         if self.model.add_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return sum([f[0] for f in found]), ",".join([f[1] for f in found]), decoded
+        return ids.count(",") + 1 if ids else 0, ids, decoded
 
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds the ids and decoded text."""
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds the ids, with_text the decoded text."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        schema += ", ids array<int>, decoded string"
+    schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(load(model_path))
         for whole in batches:
-            for batch in common.slices(whole, "text"):
+            for batch in common.slices(whole, "text", 1 << 20):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 codec.look_up({w for t in texts for w in codec.model.split(t)})
                 rows = [codec.encoded(t) for t in texts]
@@ -378,9 +380,13 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    ids = [np.array(r[1].split(",") if r[1] else [], np.int32) for r in rows]
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
-                    names += ["ids", "decoded"]
+                    ends = np.cumsum([0, *(r[0] for r in rows)], dtype=np.int32)
+                    flat = np.fromstring(",".join([r[1] for r in rows if r[1]]), np.int32, sep=",")
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
+                    names.append("ids")
+                if with_text:
+                    columns.append(pa.array([r[2] for r in rows], pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -62,5 +62,5 @@ def test_documents_nulls_and_extra_columns(spark, library):
         want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
     assert got == sorted(want, key=repr)
     assert encode_documents(df.limit(0), PATH).count() == 0
-    full = encode_documents(df, PATH, with_ids=True).where("doc_id = 3").first()
+    full = encode_documents(df, PATH, with_ids=True, with_text=True).where("doc_id = 3").first()
     assert library.decode(list(full.ids)) == full.decoded
