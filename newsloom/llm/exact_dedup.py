@@ -9,11 +9,12 @@ normalised texts are the same bytes form a group.
    more bit of the hash. The driver holds 2**DRIVER_DEPTH prefixes at most; a prefix that
    is still overfull gets further bits by its own count, which is checked until every
    bucket fits (or its keys have no bits left). So buckets keep to their capacity at any size.
-3. *Routing.* Texts are dealt to the buckets of their keys. Copies are folded in each
-   task first, so a group that holds a third of all rows leaves a task as one row.
-4. *Owners.* An owner task has a range of buckets in key order. Texts of one key form a
+3. *Routing.* Each text is sent once, to the owner of its key: a range of buckets in key order, which the
+   directory cuts so that owners have about equal numbers of keys. Keys of more than 1 / HOT of all rows (fewer than
+   HOT) are folded in each task first, so a group that holds a third of all rows leaves a task as one row.
+4. *Owners.* In the owner's task, with no further exchange, texts of one key form a
    chain, told apart by their bytes; every entry keeps its survivor and size. The owners
-   write the index to the shared folder, sorted by bucket and key.
+   write the index to the shared folder, sorted by bucket and key; its files are key ranges.
 5. *Probing.* Every row looks up its bucket and key. Where the chain has one text, that is
    the row's: the index was built of these rows. Where it has more, the row walks
    it with its own text, comparing bytes. Keys of large groups are joined by a broadcast
@@ -118,41 +119,70 @@ def directory(keys: DataFrame, capacity: int, driver_depth: int = DRIVER_DEPTH)
 
 
 def routed(keyed: DataFrame, table: DataFrame, driver_depth: int = DRIVER_DEPTH) -> DataFrame:
-    """keyed rows with the bucket of their key; the table has 2**driver_depth rows."""
+    """keyed rows with the bucket of their key and its owner; the table has 2**driver_depth rows."""
     rows = keyed.withColumn("prefix", _prefix(driver_depth)).join(F.broadcast(table), "prefix")
     return rows.withColumn("bucket", _bucket(F.col("depth"))).drop("prefix", "depth")
 
 
+def with_owners(table: DataFrame, keys: DataFrame, owners: int, driver_depth: int = DRIVER_DEPTH) -> DataFrame:
+    """The directory with the owner of each prefix: key ranges of about equal numbers of keys, cut between prefixes."""
+    counts = {r["prefix"]: r["n"] for r in keys.groupBy(_prefix(driver_depth)).agg(F.count("*").alias("n")).collect()}  # 2**driver_depth rows at most
+    share = max(sum(counts.values()) / owners, 1e-9)
+    rows, before = [], 0
+    for prefix, depth in sorted((r["prefix"], r["depth"]) for r in table.collect()):
+        n = counts.get(prefix, 0)
+        rows.append((prefix, depth, min(owners - 1, int((before + n / 2) / share))))
+        before += n
+    return table.sparkSession.createDataFrame(rows, "prefix long, depth int, owner int")
+
+
+def _folded(texts: DataFrame) -> DataFrame:
+    """One row for each text of a key: its survivor's rank, and the number of its rows. Bytes are compared."""
+    return texts.groupBy("owner", "bucket", "h", "body").agg(F.max("rank").alias("rank"), F.count("*").alias("group_size"))
+
+
+def _chains(folded: DataFrame) -> DataFrame:
+    """The chain of each key, in the order of digests; a text is kept in it only where it has to be told from another."""
+    span, top = F.lit(Decimal(ID_SPAN)), F.lit(Decimal(MAX_ID))
+    left = F.col("rank") % span
+    entry = F.struct(
+        F.sha2("body", 256).alias("digest"),
+        ((F.col("rank") - left) / span).cast("long").alias("best"),
+        F.when(left > 0, top - left + 1).cast("long").alias("keep_id"),
+        "group_size",
+        "body",
+    )
+    bare = F.transform("chain", lambda e: e.withField("body", F.lit(None).cast("string")))
+    chains = folded.select("owner", "bucket", "h", entry.alias("entry")).groupBy("owner", "bucket", "h").agg(F.array_sort(F.collect_list("entry")).alias("chain"))
+    return chains.select("owner", "bucket", "h", F.when(F.size("chain") > 1, F.col("chain")).otherwise(bare).alias("chain"))
+
+
 def build_index(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, driver_depth: int = DRIVER_DEPTH, key_bits: int = 64
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, index, directory), all stored.
+    """(rows, index, directory); index and directory are stored.
 
     rows: doc_id, n_cp, h, bucket of each row. index: a row per key with bucket, h and its chain of
     (digest, best: most code points, keep_id: smallest id among those, group_size, body: only in chains of several).
     """
+    spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col, key_bits)
     plain = common.stored(keyed.drop("body"), "rows")
-    table = common.stored(directory(common.stored(plain.select("h").distinct(), "keys"), capacity, driver_depth), "directory")
+    counted = common.stored(plain.groupBy("h").agg(F.count("*").alias("n")), "keys")
+    keys = counted.select("h")
+    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = common.stored(with_owners(directory(keys, capacity, driver_depth), keys, owners, driver_depth), "directory")
     # One number orders rows by code points, then smallest id; a null id comes last.
     span, top = F.lit(Decimal(ID_SPAN)), F.lit(Decimal(MAX_ID))
     rank = F.col("n_cp").cast("decimal(12,0)") * span + F.coalesce(top - F.col("doc_id") + 1, F.lit(Decimal(0)))
-    texts = routed(keyed, table, driver_depth).groupBy("bucket", "h", "body").agg(F.max(rank.cast("decimal(38,0)")).alias("rank"), F.count("*").alias("group_size"))
-    left = F.col("rank") % span
-    entry = F.struct(
-        F.sha2("body", 256).alias("digest"),
-        ((F.col("rank") - left) / span).cast("long").alias("best"),
-        F.when(left > 0, top - left + 1).cast("long").alias("keep_id"),
-        "group_size",
-        "body",
-    )
-    # texts are told apart already; a key has more than one only if its hash collides
-    chain = F.array_sort(F.collect_list("entry"))
-    bare = F.transform("chain", lambda e: e.withField("body", F.lit(None).cast("string")))
-    chains = texts.select("bucket", "h", entry.alias("entry")).groupBy("bucket", "h").agg(chain.alias("chain"))
-    chains = chains.select("bucket", "h", F.when(F.size("chain") > 1, F.col("chain")).otherwise(bare).alias("chain"))
-    index = common.stored(chains.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index")
-    return routed(plain, table, driver_depth), index, table
+    texts = routed(keyed, table, driver_depth).select("owner", "bucket", "h", "body", rank.cast("decimal(38,0)").alias("rank"))
+    n = plain.count()
+    hot = F.broadcast(counted.where(F.col("n") * HOT > n).select("h"))  # fewer than HOT keys
+    # the one exchange of texts is by owner; both foldings keep to it
+    cold = _chains(_folded(texts.join(hot, "h", "left_anti").repartitionById(owners, "owner")))
+    large = _chains(_folded(texts.join(hot, "h", "left_semi")))
+    index = cold.unionByName(large).sortWithinPartitions("bucket", "h").drop("owner")
+    return routed(plain, table, driver_depth).drop("owner"), common.stored(index, "index"), table
 
 
 def exact_dedup(
@@ -171,7 +201,7 @@ def exact_dedup(
     probed = known.join(single, ["bucket", "h"], "left").select("doc_id", "n_cp", F.coalesce("hot", "entry").alias("entry")).where("entry is not null")
     chained = index.where("size(chain) > 1")
     if not chained.isEmpty():
-        texts = routed(_keyed(docs, id_col, text_col, key_bits), table, driver_depth)
+        texts = routed(_keyed(docs, id_col, text_col, key_bits), table, driver_depth).drop("owner")
         walked = texts.join(chained, ["bucket", "h"]).select("doc_id", "n_cp", F.get(F.filter("chain", lambda e: e["body"] == F.col("body")), F.lit(0)).dropFields("body").alias("entry"))
         probed = probed.unionByName(walked)
     return probed.select(

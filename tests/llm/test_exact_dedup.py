@@ -2,6 +2,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
+import xxhash
+from pyspark.sql import functions as F
+
+from newsloom.llm import exact_dedup as exact_dedup_module
 from newsloom.llm.exact_dedup import OP7_SQL, build_index, directory, exact_dedup, grow_directory, op7_exact_dedup
 from tests.conftest import SF
 from tests.llm.oracle import assert_same
@@ -77,3 +82,32 @@ def test_directory_partitions_the_key_space():
 
 def test_against_sql(spark):
     assert_same(spark, op7_exact_dedup(spark, SF), OP7_SQL, SF)
+
+
+def test_a_bucket_file_is_a_key_range_and_can_be_walked(spark):
+    rows = [(i, f"text {i % 4000}") for i in range(5000)]
+    df = spark.createDataFrame([(i, t, "", 0, 0) for i, t in rows], SCHEMA)
+    _, index, table = build_index(df, capacity=40)
+    unsigned = F.expr("h ^ shiftleft(1L, 63)")  # in the order of leading bits
+    files = index.groupBy(F.input_file_name().alias("file")).agg(F.min(unsigned).alias("low"), F.max(unsigned).alias("high"), F.count("*").alias("keys")).orderBy("low").collect()
+    assert len(files) > 1 and sum(f["keys"] for f in files) == 4000
+    assert all(a["high"] < b["low"] for a, b in zip(files, files[1:]))
+    depth = {r.prefix: r.depth for r in table.collect()}
+    for text in ("text 7", "text 3999"):
+        body = text.replace(" ", "")
+        h = xxhash.xxh64_intdigest(body.encode(), seed=42)
+        file = next(f["file"] for f in files if f["low"] <= (h ^ 1 << 63) - ((h ^ 1 << 63) >> 63 << 64) <= f["high"])
+        kept = pq.read_table(file.removeprefix("file:")).to_pylist()
+        assert [(r["bucket"], r["h"]) for r in kept] == sorted((r["bucket"], r["h"]) for r in kept)
+        d = depth[h >> 52]
+        chain = next(r["chain"] for r in kept if r["h"] % 2**64 == h and r["bucket"] == (1 << d) + (h >> 64 - d))
+        ids = [i for i, t in rows if t == text]
+        assert [(e["digest"], e["keep_id"], e["group_size"]) for e in chain] == [(hashlib.sha256(body.encode()).hexdigest(), ids[0], len(ids))]
+
+
+def test_texts_are_exchanged_once(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "", 0, 0) for i in range(300)], SCHEMA)
+    keyed = exact_dedup_module._keyed(df, "doc_id", "text", 64).withColumns({"owner": F.expr("cast(pmod(h, 4) as int)"), "bucket": F.expr("pmod(h, 40)"), "rank": F.lit(1).cast("decimal(38,0)")})
+    plan = exact_dedup_module._chains(exact_dedup_module._folded(keyed.repartitionById(4, "owner")))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan") :]
+    assert physical.count("Exchange ") == 1
