@@ -138,15 +138,28 @@ def paragraphs_clipped(paragraphs: Column, limit: int) -> Column:
     return F.transform(paragraphs, lambda p: F.substring(p, 1, limit))
 
 
-def leading_emoji(title: Column, known: list[str], rules: list[tuple[str, str]], default: str) -> Column:
-    """The title if it starts with a known emoji, else the first matching rule's emoji before it."""
+# The emojis that may begin a title, and what is looked for in a title without one, in order.
+TITLE_EMOJIS = ["🏆", "🏎️", "🚀", "💎", "🤝", "📢", "🚗", "🔥"]
+EMOJI_RULES = [
+    ("легенд|legends|tour|чемпион|приз|победител", "🏆"),
+    ("гонк|скорост|race|ралли", "🏎️"),
+    ("релиз|выпуск|launch|запуск|вышел|выходит|дебют", "🚀"),
+    ("коллекц|серия|series|collection", "💎"),
+    ("сотруднич|партнёр|collab|partner", "🤝"),
+    ("анонс|объявл|представля|announce", "📢"),
+    (r"машин|автомобил|модел|(?U)\bcar\b", "🚗"),
+]
+
+
+def leading_emoji(title: Column, known: list[str] = TITLE_EMOJIS, rules: list[tuple[str, str]] = EMOJI_RULES, default: str = "🔥") -> Column:
+    """The title if it starts with a known emoji, else the first matching rule's emoji before it; the rules read its lower case."""
     has = F.lit(False)
     for e in known:
         has = has | title.startswith(e)
     pick = F.lit(default)
     for pattern, emoji in reversed(rules):
-        pick = F.when(title.rlike(pattern), F.lit(emoji)).otherwise(pick)
-    return F.when(has, title).otherwise(F.concat(pick, F.lit(" "), title))
+        pick = F.when(F.lower(title).rlike(pattern), F.lit(emoji)).otherwise(pick)
+    return F.when(has | (title == ""), title).otherwise(F.concat(pick, F.lit(" "), title))
 
 
 def cyrillic_share(texts: Column) -> Column:

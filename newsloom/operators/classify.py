@@ -23,6 +23,11 @@ LONG_BOILERPLATE = [
     r"^узнать\s+больше\s+о\b",
     r"^clique\s+(aqui|neste\s+link|no\s+link)\b",
     r"^кликай(те)?\s+(по|на|сюда)\b",
+    # a shop's name with a selling verb; its name alone may be news
+    r"^n?a\s+universo\s+hot\s+wheels\b[^.]{0,80}\b(voc[eê]\s+(encontra|acha|vai\s+encontrar)|encontre)",
+    r"^a\s+universo\s+hot\s+wheels\s+[eé]\s+a\s+maior\s+loja\b",
+    r"^\*{0,2}в\s+\*{0,2}universo\s+hot\s+wheels\b[^.]{0,80}\bнайд[её]те",
+    r"^\*{0,2}universo\s+hot\s+wheels\*{0,2}\s*[—–-]\s*крупнейш",
     r"\bredirecionador(?:es)?\s+de\s+encomendas\b",
     r"\bперенаправлени\w{0,3}\s+посылок\b",
 ]

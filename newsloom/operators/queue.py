@@ -45,6 +45,12 @@ def evictable(now: Column) -> Column:
     return publishable(now) & F.col("ru_paragraphs").isNull()
 
 
+def listed(pending: DataFrame, which: str, now: Column) -> DataFrame:
+    """One of the lists that operators are shown, the oldest first: held, stale, overdue or evictable rows."""
+    tests = {"held": held, "stale": lambda: stale(now), "overdue": lambda: overdue(now), "evictable": lambda: evictable(now)}
+    return pending.where(tests[which]()).orderBy("notified_at" if which == "overdue" else "fetched_at", "link")
+
+
 def recent(ts: str, now: Column, days: int) -> Column:
     """Not before now minus days, the border included; held and deferred rows too."""
     return F.col(ts) >= now - F.expr(f"interval {days} days")
@@ -131,7 +137,7 @@ def mark_notified(pending: DataFrame, which: Column, now: Column) -> DataFrame:
 
 
 def clear_notified(pending: DataFrame, which: Column) -> DataFrame:
-    return set_where(pending, which, notified_at=F.lit(None).cast("timestamp"))
+    return set_where(pending, which, notified_at=F.lit(None))
 
 
 def increment_attempt(pending: DataFrame, which: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as x
 from newsloom.functions import urls
+from newsloom.operators import intake
 from newsloom.operators import queue as q
 
 TEXTS = "array<string>"
@@ -47,6 +48,36 @@ def effects(judged: DataFrame, now: Column, hours: int = 24) -> tuple[DataFrame,
     return staged, seen
 
 
+#: Failed days of fetching after which a link is given up.
+FETCH_RETRY_CAP = 3
+
+
+def dropped(judged: DataFrame, failures: DataFrame, cap: int = FETCH_RETRY_CAP) -> DataFrame:
+    """(link, title, why, match): what the ledger remembers of a tick besides what is staged, so that it does not come back.
+
+    Promotions, dropped genres and duplicates are remembered; a link that could not be fetched is only once the ledger of
+    failures (link, attempts) has reached the cap. Checklists and links that may still be fetched are not.
+    """
+    tried = judged.join(failures.select("link", "attempts").dropDuplicates(["link"]), "link", "left")
+    retired = (F.col("outcome") == "no_article") & (F.coalesce("attempts", F.lit(0)) >= cap)
+    why = F.when(F.col("outcome").isin("duplicate", "promo", "genre"), F.col("outcome")).when(retired, F.lit("retired"))
+    rows = tried.withColumn("why", why).where(F.col("why").isNotNull())
+    return rows.select("link", F.coalesce("title", F.lit("")).alias("title"), "why", F.when(F.col("why") == "duplicate", F.col("match")).alias("match")).dropDuplicates(["link"])
+
+
+def staged_rows(judged: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """The rows that are staged, with all their columns: publish_after, hold_reason, the fingerprint as JSON, and blocks only if they pair with the paragraphs."""
+    kept = judged.where(F.col("outcome").isin("staged", "held_for_review")).dropDuplicates(["link"])
+    after = F.when(F.col("decision") == "flag", now + F.make_dt_interval(F.lit(0), F.lit(hours)))
+    reason = F.when((F.col("outcome") == "held_for_review") & (F.size("markers") > 0), F.array_join("markers", ", "))
+    made = {"publish_after": after, "hold_reason": reason}
+    if "fp" in kept.columns:
+        made["fingerprint"] = F.to_json("fp", {"ignoreNullFields": "false"})
+    if {"blocks", "paragraphs"} <= set(kept.columns):
+        made["blocks"] = intake.aligned_blocks(F.col("blocks"), F.col("paragraphs"))
+    return kept.withColumns(made).drop("decision", "match", "outcome", "markers", "fp")
+
+
 def backfill(rows: DataFrame, fetched: DataFrame) -> DataFrame:
     """Rows (link, fingerprint, …) with outcome and the fingerprint they have afterwards.
 

@@ -107,7 +107,7 @@ def paragraph_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "documents").select("doc_id", x.paragraphs_clipped(parts, 20).alias("clipped"), x.mostly_cyrillic(parts).alias("cyrillic"))
 
 
-@query("""select doc_id, case when starts_with(title, '🏁') then title when regexp_matches(title, 'the') then '📰 ' || title when regexp_matches(title, 'der') then '🚗 ' || title else '🔹 ' || title end title
+@query("""select doc_id, case when starts_with(title, '🏁') then title when title = '' then title when regexp_matches(lower(title), 'the') then '📰 ' || title when regexp_matches(lower(title), 'der') then '🚗 ' || title else '🔹 ' || title end title
 from (select doc_id, string_split(coalesce(text, ''), chr(10))[1] title from documents)""")
 def titled_with_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))

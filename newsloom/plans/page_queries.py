@@ -47,11 +47,36 @@ def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", html.alias("html")).select("id", F.char_length("html").alias("n"), F.md5("html").alias("digest"))
 
 
-@query("select event_id, 1 depth from events")
+@query("select event_id, case event_id % 7 when 0 then null when 1 then 1 + (event_id % 9)::int else 1 end depth from events")
 def payload_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.read(spark, sf_dir, "events").select("event_id", render.json_depth("props").alias("depth"))
+    """The payloads of the events; every seventh is cut short, every seventh wrapped in further lists."""
+    k = (F.col("event_id") % 9).cast("int")
+    wrapped = F.concat(F.repeat(F.lit("["), k), F.col("props"), F.repeat(F.lit("]"), k))
+    payload = F.when(F.col("event_id") % 7 == 0, F.lit('{"k": [')).when(F.col("event_id") % 7 == 1, wrapped).otherwise(F.col("props"))
+    return t.read(spark, sf_dir, "events").select("event_id", render.json_depth(payload).alias("depth"))
 
 
-@query("select event_id, 'keys' verdict from events")
+def _payload(title: str = '"t"', paragraphs: str = '["a"]', blocks: str = "null", ru_blocks: str = "null", more: str = "") -> str:
+    return f'{{"title": {title}, "subtitle": "s", "paragraphs": {paragraphs}, "ru_paragraphs": [], "blocks": {blocks}, "ru_blocks": {ru_blocks}{more}}}'
+
+
+#: A payload for each verdict.
+PAYLOADS = {
+    "too large": "a" * (256 * 1024 + 1),
+    "not JSON": '{"title": ',
+    "too deep": "[" * 6 + "]" * 6,
+    "keys": _payload(more=', "odd": 1'),
+    "paragraphs": _payload(paragraphs='"x"'),
+    "paragraph length": _payload(paragraphs='["' + "é" * 5121 + '"]'),
+    "blocks of one language only": _payload(blocks="[]"),
+    "block type": _payload(blocks='[{"type": "poem"}]', ru_blocks="[]"),
+    "heading level": _payload(blocks='[{"type": "heading", "level": 2}]', ru_blocks="[]"),
+    "ok": _payload(blocks='[{"type": "heading", "level": 3}, {"type": "video"}]', ru_blocks="[]"),
+}
+
+
+@query(f"select event_id, {list(PAYLOADS)!r}[event_id % {len(PAYLOADS)} + 1] verdict from events")
 def stage_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.read(spark, sf_dir, "events").select("event_id", readers.stage_verdict(F.col("props")).alias("verdict"))
+    """A payload for each branch of the rules, dealt to the events."""
+    payload = F.get(F.array(*map(F.lit, PAYLOADS.values())), (F.col("event_id") % len(PAYLOADS)).cast("int"))
+    return t.read(spark, sf_dir, "events").select("event_id", readers.stage_verdict(payload).alias("verdict"))

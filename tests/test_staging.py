@@ -134,3 +134,39 @@ def test_user_message(spark):
     assert render.marked_paragraphs(["a"], [bold, bold]) == ["a"] and render.marked_paragraphs(["b"], None) == ["b"] and render.marked_paragraphs([], [bold]) == []
     row = spark.createDataFrame([("s", None, "é", None, None)], "s string, t string, u string, p string, b string").select(render.user_message("s", "t", "u", "p", "b")).first()
     assert json.loads(row[0]) == {"source_name": "s", "title": None, "subtitle": "é", "paragraphs": []} and "é" in row[0]
+
+
+def test_drops_are_remembered_by_kind(spark):
+    gated = spark.createDataFrame(
+        [(1, "t", "promo"), (2, None, "genre"), (3, "t", "no_article"), (4, "t", "no_article"), (5, "t", "no_article"), (6, "t", "checklist"), (7, "t", "staged"), (8, "t", "held_for_review"), (8, "t", "held_for_review")],
+        "link long, title string, outcome string",
+    )
+    said = spark.createDataFrame([(7, "flag", 1), (8, "block", 2), (1, "block", 3)], "link long, decision string, match long")
+    failures = spark.createDataFrame([(3, 3), (4, 2), (1, 9)], "link long, attempts int")
+    got = {tuple(r) for r in st.dropped(st.with_duplicates(gated, said), failures).collect()}
+    assert got == {(1, "t", "promo", None), (2, "", "genre", None), (3, "t", "retired", None), (8, "t", "duplicate", 2)}
+
+
+def test_staged_rows_keep_their_fingerprint(spark):
+    fp = "struct<strict:array<string>,brands:array<string>,series:array<string>,pairs:array<string>>"
+    block = "array<struct<type:string,text:string>>"
+    rows_ = [(1, "staged", "flag", [], ([], [], [], []), ["a"], [("paragraph", "a")]), (2, "held_for_review", "pass", ["m", "n"], (["x y"], ["x"], None, []), ["a"], [("paragraph", "a"), ("heading", "b")]), (3, "duplicate", "block", [], None, [], [])]
+    df = spark.createDataFrame([(*r, 0) for r in rows_], f"link long, outcome string, decision string, markers array<string>, fp {fp}, paragraphs array<string>, blocks {block}, match long")
+    got = {r.link: r for r in st.staged_rows(df, F.lit(str(NOW)).cast("timestamp_ntz")).collect()}
+    assert set(got) == {1, 2} and got[1].publish_after == NOW + timedelta(days=1) and got[2].publish_after is None
+    assert got[2].hold_reason == "m, n" and json.loads(got[1].fingerprint) == {"strict": [], "brands": [], "series": [], "pairs": []}
+    assert json.loads(got[2].fingerprint)["series"] is None and len(got[1].blocks) == 1 and got[2].blocks is None
+
+
+def test_store_adverts_and_emojis(spark):
+    texts = {
+        "Na Universo Hot Wheels você encontra as miniaturas da linha": True, "A Universo Hot Wheels é a maior loja do Brasil": True, "**Universo Hot Wheels** — крупнейший магазин": True,
+        "В **Universo Hot Wheels** вы найдёте все модели": True, "A Universo Hot Wheels anunciou uma parceria com a Mattel": False, "Na Universo Hot Wheels houve um evento. Você encontra fotos abaixo": False,
+    }
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    assert {r.t: r.b for r in df.select("t", c.boilerplate(F.col("t")).alias("b")).collect()} == texts
+    from newsloom.functions import text as x
+
+    titles = {"": "", "🏎️ x": "🏎️ x", "Легенды World Race": "🏆 Легенды World Race", "Гонка": "🏎️ Гонка", "the scar": "🔥 the scar", "A Car!": "🚗 A Car!", "Collab": "🤝 Collab"}
+    df = spark.createDataFrame([(k,) for k in [*titles, None]], "t string")
+    assert {r.t: r.e for r in df.select("t", x.leading_emoji(F.col("t")).alias("e")).collect()} == titles | {None: None}
