@@ -7,14 +7,13 @@ compared that shares neither a pair key nor a model phrase.
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import temporal
 from newsloom.operators import entities as e
+from newsloom.operators.storage import kept
 
 
 def candidate_set(pending: DataFrame, published: DataFrame, now: Column, days: int = 30) -> DataFrame:
@@ -227,17 +226,6 @@ def judged(articles: DataFrame, candidates: DataFrame, by_pair: DataFrame, by_ov
     )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder; a folder of this machine only where a local session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint()
-
-
 #: Matches of one group of articles that depend on each other that one task may follow one by one.
 MATCHES_PER_GROUP = 200_000
 

@@ -1,19 +1,29 @@
 """State machines over ordered events: sorted folds per key for tables, the same steps for streams.
 
 A machine is a pure step(state, event) -> (state, outputs). ``fold`` runs it over the
-events of each key in order; newsloom.streaming runs it on a stream. Keys are
-independent; one key's events are sequential by nature.
+events of each key in order; newsloom.streaming runs it on a stream.
+
+Events are dealt in ranges of key and time, so that one key may fill many tasks. What a stretch of events does to a state
+that it does not know yet is a small summary (``SUMMARIES``): the states of a machine are few, and what time
+adds to them is the start or the last day. A first pass makes the summary of each range's first key, the driver runs along them,
+and the second pass runs the machine from the states it has found. ``gap_step`` and ``cooldown_step`` have no such
+summary (where they are depends on every time within the window): there, all events of a key are streamed through one task.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.storage import kept
+
 HOUR = timedelta(hours=1)
 
 
@@ -87,21 +97,119 @@ MACHINES: dict[str, Callable] = {
 }
 
 
+@dataclass
+class OutageSummary:
+    """A recovery makes the stretch forget; without one, the last two outage events decide how far an earlier start has come."""
+
+    second: timedelta = HOUR
+    fallback: timedelta = 2 * HOUR
+    forgets: bool = False
+    fresh: tuple | None = None
+    last: datetime | None = None
+    before: datetime | None = None
+
+    def add(self, ts: datetime, kind: str) -> None:
+        self.forgets |= kind == "recovery"
+        self.fresh = outage_step(self.fresh, ts, kind, self.second, self.fallback)[0]
+        if kind == "outage":
+            self.last, self.before = ts, self.last
+
+    def after(self, state: tuple | None) -> tuple | None:
+        if state is None or self.forgets or self.last is None:
+            return self.fresh if state is None or self.forgets else state
+        start, level = state
+        if level == 1 and self.last - start >= self.second:
+            # the first event after an hour takes the second step, only a later one the third
+            level = 2 + (self.before is not None and self.before - start >= self.second and self.last - start >= self.fallback)
+        elif level == 2 and self.last - start >= self.fallback:
+            level = 3
+        return start, level
+
+
+@dataclass
+class HoldSummary:
+    """What becomes of each count below the cap; at the cap, holds only add."""
+
+    cap: int = 6
+    held: int = 0
+    counts: list[int] | None = None
+
+    def add(self, ts: datetime, kind: str) -> None:
+        self.counts = [hold_step((n,), ts, kind, self.cap)[0][0] for n in self.counts or range(self.cap)]
+        self.held += kind == "held"
+
+    def after(self, state: tuple | None) -> tuple | None:
+        n = state[0] if state else 0
+        return (self.counts[n] if n < self.cap else n + self.held,)
+
+
+@dataclass
+class StrikeSummary:
+    """Failures since the last success, which forgets what was before."""
+
+    strikes: int = 3
+    forgets: bool = False
+    failed: int = 0
+
+    def add(self, ts: datetime, kind: str) -> None:
+        self.forgets |= kind != "failed"
+        self.failed = self.failed + 1 if kind == "failed" else 0
+
+    def after(self, state: tuple | None) -> tuple | None:
+        n = self.failed + (0 if self.forgets or not state else state[0])
+        return (n,) if n else None
+
+
+@dataclass
+class StreakSummary:
+    """Days of failure since the last success, the first and the last of them."""
+
+    cap: int = 3
+    forgets: bool = False
+    fresh: tuple | None = None
+    first: date | None = None
+
+    def add(self, ts: datetime, kind: str) -> None:
+        self.forgets |= kind != "failed"
+        self.fresh = streak_step(self.fresh, ts, kind, self.cap)[0]
+        self.first = self.first or ts.date()
+
+    def after(self, state: tuple | None) -> tuple | None:
+        if state is None or self.forgets:
+            return self.fresh
+        n, last = self.fresh
+        return state[0] + n - (self.first <= state[1]), last
+
+
+SUMMARIES: dict[Callable, type] = {outage_step: OutageSummary, hold_step: HoldSummary, strike_step: StrikeSummary, streak_step: StreakSummary}
+
+
 def fold(events: DataFrame, step: Callable, **options) -> DataFrame:
     """(key, ts, seq, output) of a machine over events (key, ts, seq, kind), per key in order of ts, then seq.
 
-    Keys are dealt and sorted by Spark and streamed through the step: a task holds
-    one event and one state, however many events a key has.
+    A task holds one event and one state, however many events a key has. Events without a time are left out.
     """
+    types = dict(events.dtypes)
+    own = events.where("ts is not null").select("key", "ts", F.col("seq").cast("long").alias("seq"), "kind")
+    order = ("key", "ts", "seq")
+    begun_in: dict[int, tuple | None] = {}
+    if step in SUMMARIES:
+        ranges = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = kept(own.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
+        begun_in = _first_states(dealt, step, options)
+    else:
+        dealt = own.repartition("key").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = None
-        begun, state = False, None
+        begun, state = False, begun_in.get(TaskContext.get().partitionId())
         for batch in batches:
             out = []
-            for key, ts, seq, kind in zip(*(batch.column(c).to_pylist() for c in ("key", "ts", "seq", "kind")), strict=True):
-                if not begun or key != current:
-                    current, state, begun = key, None, True
+            for key, ts, seq, kind in zip(*(batch.column(c).to_pylist() for c in (*order, "kind")), strict=True):
+                if not begun:
+                    current, begun = key, True
+                elif key != current:
+                    current, state = key, None
                 state, said = step(state, ts.replace(tzinfo=None), kind, **options)
                 if said is not None:
                     out.append((key, ts, seq, said))
@@ -112,12 +220,40 @@ def fold(events: DataFrame, step: Callable, **options) -> DataFrame:
                     ["key", "ts", "seq", "output"],
                 )
 
-    types = dict(events.dtypes)
-    own = events.where("ts is not null").select("key", "ts", F.col("seq").cast("long").alias("seq"), "kind")
-    dealt = own.repartition("key").sortWithinPartitions("key", "ts", "seq")
     return dealt.mapInArrow(run, f"key {types['key']}, ts {types['ts']}, seq long, output string")
 
 
+def _first_states(dealt: DataFrame, step: Callable, options: dict) -> dict[int, tuple | None]:
+    """The state in which the first key of each range begins: one small row a range comes to the driver."""
+    summary_of = SUMMARIES[step]
+
+    def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = summary = state = None
+        begun = alone = False
+        for batch in batches:
+            for key, ts, kind in zip(*(batch.column(c).to_pylist() for c in ("key", "ts", "kind")), strict=True):
+                if not begun:
+                    first = last = key
+                    begun, alone, summary = True, True, summary_of(**options)
+                if alone and key == first:
+                    summary.add(ts.replace(tzinfo=None), kind)
+                    continue
+                if key != last:
+                    alone, last, state = False, key, None
+                state = step(state, ts.replace(tzinfo=None), kind, **options)[0]
+        if begun:
+            said = pickle.dumps((first, summary, alone, last, state))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([said], pa.binary())], ["range", "said"])
+
+    rows = sorted((r["range"], pickle.loads(r["said"])) for r in dealt.mapInArrow(summarised, "range int, said binary").collect())
+    out: dict[int, tuple | None] = {}
+    open_key, open_state, begun = None, None, False
+    for place, (first, summary, alone, last, state) in rows:
+        out[place] = open_state if begun and first == open_key else None
+        open_key, open_state, begun = (first, summary.after(out[place]), True) if alone else (last, state, True)
+    return out
+
+
 def once_per_day(events: DataFrame) -> DataFrame:
     """Events (key, ts, seq) with sent: only the first of a key in each UTC day. A window does it, no machine."""
     day = Window.partitionBy("key", F.to_date("ts")).orderBy("ts", "seq")

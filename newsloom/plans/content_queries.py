@@ -17,6 +17,7 @@ from newsloom.operators import entities as e
 from newsloom.operators import intake as i
 from newsloom.operators import reports as r
 from newsloom.operators import state as s
+from newsloom.operators import storage
 from newsloom.plans import tables as t
 
 QUERIES: dict = {}
@@ -208,7 +209,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dedup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = d.kept(_fingerprinted(spark, sf_dir))
+    rows = storage.kept(_fingerprinted(spark, sf_dir))
     # every document is judged against every other; those in English play the queue, the others the ledger
     new = rows.withColumn("ordinal", F.lit(None).cast("struct<branch:int,ts:timestamp_ntz,link:bigint>"))
     pending = F.coalesce(F.col("lang") == "en", F.lit(False))
