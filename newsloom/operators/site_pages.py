@@ -336,8 +336,10 @@ def site_of(url: Column, sites: tuple[Rules, ...] = SITES) -> Column:
 READ = f"id long, site string, title string, subtitle string, texts array<string>, images array<string>, blocks array<{h.BLOCK}>, reason string"
 
 
-def read_pages(pages: DataFrame, sites: tuple[Rules, ...] = SITES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """What stands on each page by the rules of its site, in one pass over all of them."""
+def read_pages(
+    pages: DataFrame, sites: tuple[Rules, ...] = SITES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """What stands on each page by the rules of its site, in one pass over all of them; ``carry``: columns that come along in the struct ``carried``."""
     by_name = {s.name: s for s in sites}
     strings = pa.list_(pa.string())
     kinds = {"title": pa.string(), "subtitle": pa.string(), "texts": strings, "images": strings, "blocks": pa.list_(h.ARROW_BLOCK), "reason": pa.string()}
@@ -349,10 +351,17 @@ def read_pages(pages: DataFrame, sites: tuple[Rules, ...] = SITES, id_col: str =
                 rows = zip(*(batch.column(c).to_pylist() for c in ("site", "url", "html")), strict=True)
                 found = [read_page(html, url or "", by_name[site]) if site else dict.fromkeys(kinds) | {"reason": "unknown host"} for site, url, html in rows]
                 made = [pa.array([f[c] for f in found], kind) for c, kind in kinds.items()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("site"), *made], ["id", "site", *kinds])
-
-    named = pages.select(F.col(id_col).cast("long").alias("id"), site_of(F.col(url_col), sites).alias("site"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return named.mapInArrow(read, READ)
+                along = ["carried"] if carry else []
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("site"), *made, *map(batch.column, along)], ["id", "site", *kinds, *along])
+
+    named = pages.select(
+        F.col(id_col).cast("long").alias("id"),
+        site_of(F.col(url_col), sites).alias("site"),
+        F.col(url_col).alias("url"),
+        F.col(html_col).alias("html"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
+    )
+    return named.mapInArrow(read, READ + (f", carried {dict(named.dtypes)['carried']}" if carry else ""))
 
 
 def _by_site(value, sites: tuple[Rules, ...]) -> Column:
@@ -405,9 +414,10 @@ def settled(read: DataFrame, sites: tuple[Rules, ...] = SITES) -> DataFrame:
     df = df.withColumn("paragraphs", F.when(player_only, F.array("title")).otherwise(F.col("paragraphs")))
     nothing = (F.coalesce(F.size("blocks"), F.lit(0)) == 0) & (F.size("paragraphs") == 0) & (F.size("images") == 0) & (F.col("subtitle") == "")
     reason = F.coalesce("reason", F.when(nothing, F.lit("empty")))
-    return df.select("id", "site", "title", "subtitle", "paragraphs", "images", "blocks", reason.alias("reason"))
+    along = ["carried"] if "carried" in read.columns else []
+    return df.select("id", "site", "title", "subtitle", "paragraphs", "images", "blocks", reason.alias("reason"), *along)
 
 
-def articles(pages: DataFrame, sites: tuple[Rules, ...] = SITES, **columns: str) -> DataFrame:
+def articles(pages: DataFrame, sites: tuple[Rules, ...] = SITES, **columns) -> DataFrame:
     """id, site, title, subtitle, paragraphs, images, blocks and reason of each page."""
     return settled(read_pages(pages, sites, **columns), sites)

@@ -12,6 +12,7 @@ from newsloom.operators import queue as q
 from newsloom.operators import site_pages as sp
 from newsloom.operators import staging as st
 from newsloom.plans import tables as t
+from newsloom.sources import feed_scan as fs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -169,3 +170,26 @@ def plugs_in_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(plug == "", F.col("body")).otherwise(F.trim(plug))
     left = c.blocks_without_plugs(F.array(block(F.concat("body", plug)), block(second)))
     return docs.select("doc_id", F.size(left).alias("n"), F.array_join(F.transform(left, lambda b: F.trim(b["text"])), "|").alias("text"))
+
+
+H1 = r"replace(replace(replace(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), ' ' || chr(9) || chr(10) || chr(13)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"""with f as (select page_id, page_id % 8 kind, {H1} h1 from pages), n as (select unnest(range(3)) position)
+select page_id feed, case when kind < 6 then position end position, case when kind < 6 then case position when 0 then 'https://orangetrackdiecast.com/' || page_id when 1 then 'https://evil.example/' end end link,
+  case when kind < 6 then case when position = 0 and kind % 2 = 0 and h1 <> '' then h1 else 'Entry ' || page_id end end title,
+  case when kind = 6 then 'malformed' when kind = 7 then 'too large' when position > 0 then 'host rejected' end reason
+from f join n on kind < 6 or position = 0""")
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed made of each page: an entry of the site with the page's heading or without, one of a foreign host, one without link; some feeds are broken or too large."""
+    pages = t.read(spark, sf_dir, "pages")
+    heading = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
+    kind, number = F.col("page_id") % 8, F.col("page_id").cast("string")
+    head = F.concat(F.lit("<item><title>Entry "), number, F.lit("</title>"))
+    content = F.concat(F.when(kind % 2 == 0, F.concat(F.lit("<h1>"), heading, F.lit("</h1>"))).otherwise(F.lit("")), F.lit("<p>Some text.</p>"))
+    good = F.concat(head, F.lit("<link>https://orangetrackdiecast.com/"), number, F.lit("</link><content:encoded><![CDATA["), content, F.lit("]]></content:encoded></item>"))
+    foreign = F.concat(head, F.lit("<link>https://evil.example/</link></item>"))
+    whole = F.concat(F.lit('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>f</title>'), good, foreign, head, F.lit("</item></channel></rss>"))
+    body = F.when(kind == 6, F.lit("<rss><channel><item>")).when(kind == 7, F.concat(whole, F.repeat(F.lit(" "), 70_000))).otherwise(whole)
+    found = fs.scan_feeds(pages.select(number.alias("feed_url"), body.alias("body")), max_bytes=65_536)
+    return found.select(F.col("feed_url").cast("long").alias("feed"), "position", "link", "title", "reason")
