@@ -147,11 +147,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _running(text: Column, known: Column, threshold: float, low: float, high: float) -> Column:
-    """Matching windows (dice, place, kind, start, end) over a lower-case text's words, the best first, none of which overlap."""
+#: Words of a text that are searched for windows together.
+STRETCH = 1024
+
+
+def _running(text: Column, known: Column, threshold: float, low: float, high: float, largest: int) -> Column:
+    """Matching windows (dice, place, kind, start, end) over a lower-case text's words, the best first, none of which overlap.
+
+    Of each licence the best of them is there; where the best ones of all are found, worse ones are not looked at.
+    """
+    width = int(largest * high) + 1
     whole = F.trim(F.regexp_replace(F.replace(_clean(text), F.lit("\n"), F.lit(" ")), " +", " "))
 
-    def matches(grams: Column, t: Column) -> Column:
+    def matches(grams: Column, before: Column, t: Column) -> Column:
         def window(start: Column, end: Column) -> Column:
             return _let(
                 F.array_distinct(F.slice(grams, start + 1, end - start + 1)),
@@ -159,8 +167,8 @@ def _running(text: Column, known: Column, threshold: float, low: float, high: fl
                     (2.0 * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + t["n"])).alias("dice"),
                     t["place"].alias("place"),
                     t["kind"].alias("kind"),
-                    (-start).alias("start"),  # of equal windows the first, then the shortest, sorts highest
-                    (-end).alias("end"),
+                    (-(before + start)).alias("start"),  # of equal windows the first, then the shortest, sorts highest
+                    (-(before + end)).alias("end"),
                 ),
             )
 
@@ -174,17 +182,32 @@ def _running(text: Column, known: Column, threshold: float, low: float, high: fl
             return run
 
         held = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
-        return _let(held, lambda h: F.flatten(F.transform(h, from_start(h))))
+        return _let(held, lambda h: F.flatten(F.transform(h, lambda s, k: F.when(s < STRETCH, from_start(h)(s, k)).otherwise(F.filter(F.array(window(s, s)), lambda w: F.lit(False))))))
 
-    def found(grams: Column) -> Column:
+    def in_stretch(grams: Column, before: Column) -> Column:
         near = F.filter(known, lambda t: F.size(F.array_intersect(grams, t["grams"])) >= t["n"] * low)
-        return F.reverse(F.array_sort(F.flatten(F.transform(near, lambda t: matches(grams, t)))))
+        return F.flatten(F.transform(near, lambda t: matches(grams, before, t)))
+
+    def found(grams: Column) -> Column:
+        # cutting a window out of an array takes as long as the array: so out of stretches, each with the words that windows from it may reach
+        starts = F.sequence(F.lit(0), F.floor((F.size(grams) - 1) / STRETCH).cast("int"))
+        cut = lambda k: F.slice(grams, k * STRETCH + 1, F.lit(STRETCH + width))
+        windows = F.flatten(F.transform(starts, lambda k: _let(cut(k), lambda part: in_stretch(part, k * STRETCH))))
+        return F.reverse(F.array_sort(F.when(F.size(grams) > 0, windows).otherwise(F.slice(windows, 1, 0))))
 
     def apart(windows: Column) -> Column:
         beside = lambda kept, w: ~F.exists(kept, lambda o: (o["start"] >= w["end"]) & (w["start"] >= o["end"]))
         return F.aggregate(windows, F.slice(windows, 1, 0), lambda kept, w: F.when(beside(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
 
-    return _let(_let(_bigrams(whole), found), apart)
+    def best_apart(windows: Column) -> Column:
+        # what is kept only depends on better windows: as far down as the first window of the last licence, if that is enough
+        kinds = F.transform(windows, lambda w: w["kind"])
+        reach = F.array_max(F.transform(F.array_distinct(kinds), lambda k: F.array_position(kinds, k)))
+        few = F.slice(windows, F.lit(1), F.coalesce(reach, F.lit(0)).cast("int"))
+        enough = lambda kept: F.size(F.array_distinct(F.transform(kept, lambda w: w["kind"]))) == F.size(F.array_distinct(kinds))
+        return _let(apart(few), lambda kept: F.when(enough(kept), kept).otherwise(apart(windows)))
+
+    return _let(_let(_bigrams(whole), found), best_apart)
 
 
 def scan(
@@ -228,7 +251,7 @@ def scan(
     sized = F.filter(F.transform(pieces, _bigram_set), lambda g: (F.size(g) >= smallest) & (F.size(g) <= largest))
     hits = F.filter(F.transform(sized, best), lambda b: b["dice"] >= threshold)
     if windows:
-        hits = _let(hits, lambda have: _with_running(have, _running(text, known, threshold, low, high)))
+        hits = _let(hits, lambda have: _with_running(have, _running(text, known, threshold, low, high, max(map(len, sets))), len(kinds_of)))
     # substring searches over the lower-case text, which is made once: most texts go no further
     low_case = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
     found = low_case.select("doc_id", F.when(_any_of(text, words), hits).alias("hits"))
@@ -244,11 +267,12 @@ def scan(
     )
 
 
-def _with_running(hits: Column, windows: Column) -> Column:
-    """Hits of segments, and the best window of each licence that they do not have."""
+def _with_running(hits: Column, windows: Column, kinds: int) -> Column:
+    """Hits of segments, and the best window of each licence (of ``kinds``) that they do not have."""
 
     def added(new: Column) -> Column:
-        first = F.filter(new, lambda w, k: ~F.exists(F.slice(new, F.lit(1), k), lambda o: o["kind"] == w["kind"]))
+        of_kind = F.transform(F.sequence(F.lit(0), F.lit(kinds - 1)), lambda k: F.get(F.filter(new, lambda w: w["kind"] == k), F.lit(0)))
+        first = F.filter(of_kind, lambda w: w.isNotNull())
         return F.concat(hits, F.transform(first, lambda w: F.struct(w["dice"].alias("dice"), w["place"].alias("place"), w["kind"].alias("kind"))))
 
     return _let(F.filter(windows, lambda w: ~F.exists(hits, lambda h: h["kind"] == w["kind"])), added)

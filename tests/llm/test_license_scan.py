@@ -130,3 +130,25 @@ def test_registered_query_finds_running_notices(spark, tmp_path):
     text = "Copyright 2024 Foo Bar. Released under the MIT License. See LICENSE for details."
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in ls.op2_license_scan(spark, str(tmp_path)).collect()] == [(1, "MIT", "permissive", 1.0, 1)]
+
+
+def test_a_text_of_many_notices_takes_time_in_proportion(spark):
+    import time
+
+    short = min((t for _, _, t in ls.TEMPLATES), key=len)
+    took = []
+    for n in (200, 8_000):
+        df = spark.createDataFrame([(1, f"{short} and more words of it " * n)], "doc_id long, text string")
+        began = time.time()
+        (row,) = ls.scan(df, windows=True).collect()
+        took.append(time.time() - began)
+        assert row.dice == 1 and row.n_hits >= 1
+    assert took[1] < 20 + 10 * took[0]
+
+
+def test_licences_one_after_the_other_are_all_found(spark):
+    rng = random.Random(2)
+    names = [t for _, _, t in ls.TEMPLATES]
+    texts = [" ".join(" ".join(w for w in rng.choice(names).split() if rng.random() < rng.choice((1, 0.95))) for _ in range(8)) for _ in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in ls.scan(df, windows=True).collect()) == [(i, *brute_running(t)) for i, t in enumerate(texts)]
