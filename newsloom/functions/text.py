@@ -71,7 +71,7 @@ def plain_paragraphs(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?s)<[^>]+>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def stripped(column: Column, patterns: list[str]) -> Column:

@@ -17,16 +17,26 @@ def new_entries(entries: DataFrame, processed: DataFrame, pending: DataFrame, ke
     return fresh.join(first, ["link", "arrival"], "left_semi").dropDuplicates(["link"])
 
 
+def sound_url(url: Column) -> Column:
+    """An http(s) address with a host."""
+    return F.coalesce(url.rlike(r"(?i)^https?://[^\s/?#]+"), F.lit(False))
+
+
+def sound_lists(feeds: DataFrame, by: list[str], limit: int = 5) -> DataFrame:
+    """Per list of feeds (by, position, url) the number of its first ones, and whether all of them are addresses."""
+    return feeds.where(F.col("position") < limit).groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.min(sound_url(F.col("url"))).alias("whole"))
+
+
 def feed_list(feeds: DataFrame, default: list[str], limit: int = 5) -> DataFrame:
     """The first feeds of (position, url); one invalid URL among them rejects the list for the default."""
     spark = feeds.sparkSession
     head = feeds.where(F.col("position") < limit)
-    good = F.coalesce(F.col("url").rlike(r"(?i)^https?://[^\s/?#]+"), F.lit(False))
-    whole = head.agg(F.count("*").alias("n"), F.count_if(~good).alias("bad"))
+    whole = sound_lists(feeds.withColumn("__all", F.lit(0)), ["__all"], limit)
     usual = spark.createDataFrame(list(enumerate(default)), "position int, url string")
     tagged = head.select(F.col("position").cast("int").alias("position"), "url").withColumn("own", F.lit(True)).unionByName(usual.withColumn("own", F.lit(False)))
-    use_own = (F.col("n") > 0) & (F.col("bad") == 0)
-    return tagged.join(F.broadcast(whole)).where(F.col("own") == use_own).select("position", "url")
+    # one row, or none for an empty list
+    use_own = F.coalesce("whole", F.lit(False))
+    return tagged.withColumn("__all", F.lit(0)).join(F.broadcast(whole), "__all", "left").where(F.col("own") == use_own).select("position", "url")
 
 
 def patchable(block: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import content_queries, flow_queries, more_queries, page_queries, queue_queries, staging_queries
+from newsloom.plans import content_queries, flow_queries, more_queries, page_queries, queue_queries, staging_queries, text_queries
 
 FLAGSHIP = "intake_source_report"
-MODULES = [queue_queries, content_queries, page_queries, more_queries, staging_queries, flow_queries]
+MODULES = [queue_queries, content_queries, page_queries, more_queries, staging_queries, flow_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
