@@ -38,9 +38,9 @@ from newsloom.llm import common
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a task remembers: about so many bytes with what Python adds to each, and words no longer than so many characters.
-CACHE_BYTES, WORD_BYTES, CACHED_WORD = 32_000_000, 200, 64
+CACHE_BYTES, WORD_BYTES, CACHED_WORD = 24_000_000, 200, 64
 #: Characters that are encoded together at most, unless one word alone is longer.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 120_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
