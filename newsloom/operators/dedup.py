@@ -61,6 +61,7 @@ def meeting(articles: DataFrame, candidates: DataFrame, key: str, apart: Column,
     A key of many rows is cut by the hash of the links on both sides, and each part of one side meets each of the
     other in a task of its own, so no task gets more than ``size`` rows of either side of a key.
     """
+    articles, candidates = kept(articles), kept(candidates)  # small, and read for the counts too
     cut_a, cut_c = _parts(articles, key, size, "parts_a"), _parts(candidates, key, size, "parts_c")
     cuts = kept(cut_a.join(cut_c, key, "full"))
     n = cuts.limit(BROADCAST_ROWS + 1).count()
@@ -195,7 +196,7 @@ def verdicts(articles: DataFrame, candidates: DataFrame, now: Column) -> DataFra
 
     Both tables are read several times: keep them stored if their fingerprints are made by Python.
     """
-    return judged(articles, candidates, pair_matches(articles, candidates), overlap_matches(articles, candidates, now))
+    return judged(articles, candidates, kept(pair_matches(articles, candidates)), overlap_matches(articles, candidates, now))
 
 
 def judged(articles: DataFrame, candidates: DataFrame, by_pair: DataFrame, by_overlap: DataFrame) -> DataFrame:
