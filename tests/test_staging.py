@@ -65,6 +65,23 @@ def test_in_tick_follows_a_long_chain(spark):
     assert out == {i: ("block", i - 1) if i % 2 else ("pass", None) for i in range(500)}
 
 
+@pytest.mark.parametrize("group_size", [0, 200_000])
+def test_in_tick_of_many_copies(spark, monkeypatch, group_size):
+    """A hundred copies see each other, as classes: neither a round nor a task goes over their pairs."""
+    rng = random.Random(7)
+    data = [(n, rng.choice("abc"), TITLES[n % 3 + 3 * (n % 5 == 0)], NOW - timedelta(days=rng.choice([0, 3])), "") for n in range(1, 121)]
+    every = rows(spark, data)
+    new, old = every.where("link <= 100"), every.where("link > 100")
+    found, rounds, whole, seen = [], [], d.pair_matches, getattr(d, "_seen", None)
+    monkeypatch.setattr(d, "pair_matches", lambda *a: found.append(whole(*a)) or found[-1])
+    monkeypatch.setattr(d, "_seen", lambda *a: rounds.append(1) or seen(*a), raising=False)
+    now = F.lit(str(NOW)).cast("timestamp_ntz")
+    out = d.in_tick(new.withColumn("ordinal", F.col("link")), d.candidate_set(old.limit(0), old, now), now, group_size).collect()
+    got = {r.link: (r.decision, r.reason, r.match, ";".join(r.evidence) if r.evidence is not None else None, r.overlap_pct) for r in out}
+    assert got == in_order(new.collect(), old.collect())
+    assert found[-1].count() < 500 and len(rounds) <= 10
+
+
 def test_gate_fails_open(spark):
     gated = spark.createDataFrame(
         [(1, "t", "staged", []), (2, "t", "staged", []), (3, None, "held_for_review", ["m", "n"]), (4, "t", "promo", ["p"]), (5, "t", "held_for_review", []), (6, "t", "staged", None)],
